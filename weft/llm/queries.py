@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import bpe, dedup, langid, quality, secretscan, windows
+from weft.llm import bpe, dedup, langid, quality, secretscan, suffix, windows
 
 
 def vocabulary(name: str) -> str:
@@ -33,6 +33,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_earlier(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -41,7 +45,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_substring_dedup, op6_byte_bpe, op9_secrets, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_substring_dedup, op6_byte_bpe, op8_suffix_dedup, op9_secrets, op10_language)}
 
 #: DuckDB lower() differs from lower-casing A-Z beyond ASCII; translate() does not.
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
