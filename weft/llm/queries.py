@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import bpe, dedup, langid, packing, quality, secretscan, suffix, topk, windows
+from weft.llm import bpe, dedup, langid, minhash, packing, quality, secretscan, suffix, topk, windows
 
 
 def vocabulary(name: str) -> str:
@@ -41,6 +41,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_earlier(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_top_k, op4_substring_dedup, op5_packing, op6_byte_bpe, op8_suffix_dedup, op9_secrets, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_top_k, op4_substring_dedup, op5_packing, op6_byte_bpe, op7_near_dedup, op8_suffix_dedup, op9_secrets, op10_language)}
 
 #: DuckDB lower() differs from lower-casing A-Z beyond ASCII; translate() does not.
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
