@@ -37,7 +37,8 @@ class Blocks:
         rows = documents.select("doc_id", "text")
         name = f"weft_blocks_{uuid.uuid4().hex}"
         scratch.tables.append(name)
-        parts = max(1, rows.rdd.getNumPartitions())
+        # with fewer buckets than shuffle partitions, joins would deal the texts out again
+        parts = max(rows.rdd.getNumPartitions(), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -78,7 +79,7 @@ class Blocks:
             for other in self.sides[1:]:
                 told = told.unionByName(other)
             told = told.groupBy("p").agg(F.collect_list(F.struct("b", "round", "shard", "reply")).alias("told"))
-            rows = rows.join(told.hint("merge"), "p", "left").drop("p")
+            rows = rows.join(told.hint("shuffle_hash"), "p", "left").drop("p")
         else:
             rows = rows.drop("p").withColumn("told", F.lit(None).cast("array<struct<b:bigint,round:string,shard:int,reply:binary>>"))
 

@@ -32,8 +32,9 @@ from weft.llm.blocks import Block, Blocks, Keys, count_keys
 from weft.llm.common import ITEMS_A, U64, Scratch, mix, slices, word_hashes, words_of
 
 SHINGLE, SIMILAR = 2, 80
-ROWS, BANDS = 6, 42
-REGISTERS = ROWS * BANDS
+REGISTERS = 252
+#: Classes of set sizes: from, to, bands.
+CLASSES = ((1, 8, 5), (9, 16, 7), (17, 32, 11), (33, 64, 19), (65, 320, 28), (321, 1 << 62, 42))
 MANTISSA = 10
 #: Members of a band that one comparison task pairs with as many others.
 TILE = 512
@@ -131,15 +132,27 @@ def first_keys(bodies: list[bytes]) -> list[bytes]:
     return [np.packbits(first[e - n : e]).tobytes() for e, n in zip(ends.tolist(), sizes, strict=True)]
 
 
-def band_keys(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of each band that is not empty, of rows of registers."""
-    r = r.reshape(-1, BANDS, ROWS)
-    key = np.zeros(r.shape[:2], U64)
-    for i in range(ROWS):
-        key = mix(key ^ r[:, :, i].astype(U64)) + U64(i + 1)
-    key = mix(key + np.arange(BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15))
-    row, band = np.nonzero((r > 0).any(axis=2))
-    return row, key[row, band]
+def band_keys(r: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of each band that is not empty, of rows of registers of sets of n shingles.
+
+    Small sets leave most registers empty, so they have fewer and wider bands: always more than
+    the shingles in which two linked sets of the class can differ, or, beyond, enough for a
+    miss of under one in a hundred thousand at the threshold.  A set joins the bands of its
+    own class of sizes and of the largest set that it can be linked with."""
+    largest = np.asarray(n) * 100 // percent
+    value = np.where(r > 0, mix(r.astype(U64) + np.arange(REGISTERS, dtype=U64) * U64(0x9E3779B97F4A7C15)), U64(0))
+    rows, keys = [], []
+    for c, (low, high, bands) in enumerate(CLASSES):
+        own = np.flatnonzero((largest >= low) & (np.asarray(n) <= high))
+        starts = -(-np.arange(bands) * REGISTERS // bands)
+        total = np.add.reduceat(value[own], starts, axis=1) if len(own) else np.zeros((0, bands), U64)
+        full = np.add.reduceat((r[own] > 0).astype(np.int64), starts, axis=1) > 0 if len(own) else np.zeros((0, bands), bool)
+        row, band = np.nonzero(full)
+        rows.append(own[row])
+        keys.append(mix(total[row, band] + band.astype(U64) * U64(0xC2B2AE3D27D4EB4F) + U64(c)))
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(row, kind="stable")
+    return row[order], key[order]
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -234,7 +247,7 @@ def near_groups(documents: DataFrame, words: int = SHINGLE, percent: int = SIMIL
     def banded(block: Block) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         own = Profiles(block, words).own(block.told, shards)
         r = np.array([registers(x) for _, x in own], np.uint16).reshape(-1, REGISTERS)
-        return own, r, *band_keys(r)
+        return own, r, *band_keys(r, np.array([len(x) for _, x in own], np.int64), percent)
 
     blocks.ask("bands", lambda block, n: Keys(banded(block)[3], None, n).messages(), count_keys)
 
