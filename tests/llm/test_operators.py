@@ -191,3 +191,12 @@ def test_quality(spark):
     got = quality.score_documents(spark.read.parquet(f"{d}/documents.parquet"), labels)
     rows = got.join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in rows) >= 0.97 * len(rows)
+
+
+def test_blocks_without_candidates(spark):
+    """Blocks whose texts are all short or unique have nothing to ask."""
+    docs = spark.createDataFrame([(i, f"short text {i}") for i in range(20)], "doc_id bigint, text string").repartition(4)
+    assert {r.n_removed for r in windows.remove_repeats(docs).collect()} == {0}
+    assert {r.n_removed for r in suffix.remove_earlier(docs).collect()} == {0}
+    none = spark.createDataFrame([(1, None), (2, " ")], "doc_id bigint, text string")
+    assert {(r.component_id, r.kept) for r in minhash.near_groups(none).collect()} == {(1, True), (2, True)}

@@ -141,7 +141,7 @@ class Keys:
         self.shard = (self.a % U64(shards)).astype(np.int64)
         self.order = np.argsort(self.shard, kind="stable")
         self.names, self.at = np.unique(self.shard[self.order], return_index=True)
-        self.stops = np.append(self.at[1:], len(self.order))
+        self.stops = np.append(self.at[1:], len(self.order))[: len(self.at)]  # none without keys
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
         for s, i, j in zip(self.names.tolist(), self.at.tolist(), self.stops.tolist(), strict=True):
