@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from weft.operators import conflict, graph, locks, status
+from weft.plans import networks
 from weft.sources import rules as source
 from weft.sources.rules import DERIVED_SQL, EDGES_SQL
 
@@ -227,7 +228,19 @@ def field_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(kind.isin("view", "click")).alias("reads"), F.count_if(kind.isin("purchase", "signup")).alias("writes"), F.count("*").alias("instrs"))
 
 
-_STATUS_SQL = "SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'Positive' WHEN 'O' THEN 'Negative' ELSE 'Undecided' END AS status FROM orders"
+@query(networks.ordered_sql(False))
+def ordered_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published answers for small networks, without locks; no table of ``sf_dir`` is read."""
+    return networks.ordered(spark, False)
+
+
+@query(networks.ordered_sql(True))
+def ordered_reachability_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with locks heeded."""
+    return networks.ordered(spark, True)
+
+
+_STATUS_SQL ="SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'Positive' WHEN 'O' THEN 'Negative' ELSE 'Undecided' END AS status FROM orders"
 
 
 def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
