@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from weft.llm.common import U64, Scratch, text_bytes
+from weft.llm.common import U64, Scratch, begin, text_bytes
 
 #: Bytes of text in a block (a longer text is a block of its own), and for each shard at most.
 BLOCK, SHARD = 2 << 20, 8 << 20
@@ -41,6 +41,7 @@ class Blocks:
         parts = max(rows.rdd.getNumPartitions(), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin("blocks")
             from pyspark import TaskContext
 
             p, n = TaskContext.get().partitionId(), 0
@@ -84,6 +85,7 @@ class Blocks:
             rows = rows.drop("p").withColumn("told", F.lit(None).cast("array<struct<b:bigint,round:string,shard:int,reply:binary>>"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin("blocks")
             for batch in batches:
                 for i in range(batch.num_rows):
                     b = batch.column("b")[i].as_py()

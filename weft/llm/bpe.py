@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import array
 import base64
-import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weft.llm.common import U64
+from weft.llm.common import U64, begin, kept
 from weft.llm.runs import LONGEST, Memo, code_points, hashes
 
 #: Entries of the memo of resolved pre-tokens in one worker.
@@ -34,7 +33,7 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006
 _WHITE, _LETTER, _NUMBER, _OTHER = range(4)
 
 
-@functools.cache
+@kept
 def classes() -> np.ndarray:
     """The class of each code point that the pattern of ``public_tokenizers`` tells apart."""
     import regex
@@ -263,7 +262,7 @@ class LibraryCodec(Codec):
         return self.library._encode_single_piece(piece)
 
 
-@functools.cache
+@kept
 def library_codec(path: str) -> LibraryCodec:
     return LibraryCodec(path)
 
@@ -280,7 +279,7 @@ def parcels(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-@functools.cache
+@kept
 def codec(path: str) -> Codec:
     return Codec(path)
 
@@ -293,6 +292,7 @@ def encode_documents(documents: DataFrame, vocabulary: str, keep_ids: bool = Fal
     fields += ", ids binary, decoded binary" if keep_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe")
         own = codec(vocabulary)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}

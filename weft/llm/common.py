@@ -7,9 +7,12 @@ executor is lost, and it cuts lineage.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 _OWN: dict[str, str] = {}
+#: What a worker keeps between tasks can be let go by these; the operator that it ran last.
+_RELEASES: list[Callable[[], None]] = []
+_LAST: list[str] = []
+
+
+def kept(f):
+    """A cache of a worker, emptied when the worker goes over to another operator."""
+    found = functools.cache(f)
+    _RELEASES.append(found.cache_clear)
+    return found
+
+
+def begin(operator: str) -> None:
+    """Called first in a worker's task: workers are used again, and what each operator of a job
+    keeps in them would otherwise add up."""
+    if _LAST == [operator]:
+        return
+    if _LAST:
+        for release in _RELEASES:
+            release()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+    _LAST[:] = [operator]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -97,6 +127,10 @@ class Rolling:
 
     def __init__(self, base: int):
         self.base, self.inverse = U64(base), U64(pow(base, -1, 1 << 64))
+        self.release()
+        _RELEASES.append(self.release)
+
+    def release(self) -> None:
         self.up = self.down = np.ones(1, U64)
 
     def _reach(self, n: int) -> None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from weft.llm.common import Scratch, text_bytes
+from weft.llm.common import Scratch, begin, text_bytes
 
 
 def digests(documents: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -27,6 +27,7 @@ def digests(documents: DataFrame, keep_text: bool = False) -> DataFrame:
     extra = ["norm"] if keep_text else ["text_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("dedup")
         for batch in batches:
             norm = [t.lower() for t in text_bytes(batch.column("text"))]  # bytes.lower: A-Z only
             last = pa.array(norm, pa.binary()) if keep_text else pa.array([hashlib.sha256(t).hexdigest() for t in norm], pa.string())

@@ -14,7 +14,6 @@ empty table, no labels), every text is ``und``.  Repeated rows give repeated res
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections import Counter
@@ -26,7 +25,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from weft.llm.bpe import parcels
-from weft.llm.common import U64, Rolling, mix
+from weft.llm.common import _RELEASES, U64, Rolling, begin, kept, mix
 from weft.llm.runs import Memo, code_points, hashes
 
 #: Documents of each language, in expectation, from which probabilities are learned.
@@ -177,7 +176,7 @@ def train(pieces: Pieces, counts: dict[str, Counter]) -> tuple[list[str], np.nda
     return langs, np.stack(columns, axis=1) if columns else np.zeros((pieces.size, 0))
 
 
-@functools.cache
+@kept
 def letters() -> np.ndarray:
     """Which code points stand in words, and which of them are letters (2)."""
     every = [chr(c) for c in range(0x110000)]
@@ -247,12 +246,13 @@ class Scorer:
         return [(self.langs[k], s) if h else (UNKNOWN, 0.0) for k, s, h in zip(best.tolist(), share.tolist(), has.tolist(), strict=True)]
 
 
-@functools.cache
+@kept
 def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
 _SCORERS: dict = {}
+_RELEASES.append(_SCORERS.clear)
 
 
 def held_out(doc_id="doc_id"):
@@ -269,6 +269,7 @@ def fit(documents: DataFrame, vocabulary: str, docs: int = FIT_DOCS) -> tuple[li
     some = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < share * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
         found: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -313,6 +314,7 @@ def identify(documents: DataFrame, vocabulary: str, docs: int = FIT_DOCS) -> Dat
     shared = _Shared(documents.sparkSession.sparkContext.broadcast(fit(documents, vocabulary, docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
         own = scorer(shared, vocabulary)
         for batch in batches:
             got = own.score_all(batch.column("text").to_pylist())
@@ -328,6 +330,7 @@ def accept(documents: DataFrame, vocabulary: str, least: float = 0.5, docs: int
     shared = _Shared(documents.sparkSession.sparkContext.broadcast(fit(documents, vocabulary, docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
         own = scorer(shared, vocabulary)
         for batch in batches:
             got = own.score_all(batch.column(at).to_pylist())

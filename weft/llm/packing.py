@@ -24,7 +24,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from weft.llm.bpe import library_codec, parcels
-from weft.llm.common import Scratch
+from weft.llm.common import Scratch, begin
 
 LENGTH, END = 2048, 1
 #: Tokens of a shard, about; heaviest terms of a seed that are looked up; BM25's constants.
@@ -37,6 +37,7 @@ def tokenized(documents: DataFrame, ranks: str, vocabulary: int, end: int = END)
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing")
         codec = library_codec(ranks)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -58,6 +59,7 @@ def frequencies(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, in
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing_index")
         df, docs, total = np.zeros(vocabulary, np.int64), 0, 0
         for batch in batches:
             for ids in batch.column("ids").to_pylist():
@@ -176,6 +178,7 @@ def pack_documents(documents: DataFrame, ranks: str, vocabulary: int = 50_257, l
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing_index")
         from pyspark import TaskContext
 
         base, ids, docs, size = TaskContext.get().partitionId() << 36, [], [], 0
