@@ -8,10 +8,12 @@ an estimate of the Jaccard similarity, corrected for registers that agree by cha
 that may reach the threshold are verified on the full sets of 64-bit shingle hashes.
 
 Candidates of a band are not paired with each other at once.  In the first round each is
-compared with the band's smallest class alone, and what is linked becomes one component.  In
-later rounds only members of different components are compared, in tiles of ``TILE`` members, so
-a group of thousands of near copies takes as many comparisons as members, while no link between
-components is lost.
+compared with one member alone, the one that meets most others over all its bands (an original
+meets its copies more often than these each other), and what is linked becomes one component.
+In the second round members of different components are compared, in tiles of ``TILE`` members
+that bring their registers along; a pair is written only if its estimate passes, and a set is
+sent once to each cell that verifies.  So no link between components is lost, and what is
+written follows the members, not their pairs.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing.
 Fewer words than a shingle count as one shingle.  Repeated rows share their component; a null
@@ -21,7 +23,7 @@ doc_id is linked by its text like any other, and is the smallest id of a compone
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -155,35 +157,83 @@ def band_keys(r: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, n
     return row[order], key[order]
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose registers leave room for a link."""
-    side = lambda x: classes.select(F.col("k").alias(x), F.col("r").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
-    rows = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+def _by_cell(rows: DataFrame, cell: list[str], judge: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], fields: str) -> DataFrame:
+    """``judge`` over whole cells, many small ones at once; it is also given where cells begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in ("ra", "rb"))
-            ok = may_link(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
+            if not batch.num_rows:
+                continue
+            last = [batch.column(c)[batch.num_rows - 1].as_py() for c in cell]
+            same = np.logical_and.reduce([batch.column(c).to_numpy() == x for c, x in zip(cell, last, strict=True)])
+            at = int(np.flatnonzero(same)[0])  # where the batch's last cell begins, which may go on
+            if at == 0 and held and all(held[-1].column(c)[held[-1].num_rows - 1].as_py() == x for c, x in zip(cell, last, strict=True)):
+                held.append(batch)
+                continue
+            yield from whole([*held, batch.slice(0, at)])
+            held = [batch.slice(at)]
+        yield from whole(held)
+
+    def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [x for x in parts if x.num_rows]
+        if parts:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            keys = [table.column(c).to_numpy() for c in cell]
+            new = np.ones(table.num_rows, bool)
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            yield from judge(table, np.flatnonzero(new))
+
+    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, fields)
+
+
+def _estimates(r: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    ok = [may_link(r[a[s : s + 4096]], r[b[s : s + 4096]], n[a[s : s + 4096]], n[b[s : s + 4096]], percent) for s in range(0, len(a), 4096)]
+    return np.concatenate(ok) if ok else np.zeros(0, bool)
+
+
+def _judged(pairs: DataFrame, values: DataFrame, judge: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The pairs (cell, a, b) that pass.  The values of a class are sent to a cell once, however
+    many of the cell's pairs it is in."""
+    ends = pairs.select("cell", F.col("a").alias("k"), F.col("b").alias("o")).unionAll(pairs.select("cell", F.col("b").alias("k"), F.lit(None).cast("bigint").alias("o")))
+    needed = ends.groupBy("cell", "k").agg(F.collect_list("o").alias("others"))
+
+    def run(table: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cell, k = table.column("cell").to_numpy(), table.column("k").to_numpy()
+        at = {x: i for i, x in enumerate(zip(cell.tolist(), k.tolist(), strict=True))}
+        left, right = [], []
+        for i, (c, others) in enumerate(zip(cell.tolist(), table.column("others").to_pylist(), strict=True)):
+            left += [i] * len(others)
+            right += [at[c, o] for o in others]
+        a, b = np.array(left, np.int64), np.array(right, np.int64)
+        ok = judge(table, a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell[a[ok]], k[a[ok]], k[b[ok]])], ["cell", "a", "b"])
+
+    return _by_cell(needed.join(values.hint("merge"), "k"), ["cell"], run, "cell bigint, a bigint, b bigint")
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose registers leave room for a link."""
+
+    def judge(table: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _estimates(np.frombuffer(b"".join(table.column("r").to_pylist()), np.uint16).reshape(-1, REGISTERS), table.column("n").to_numpy(), a, b, percent)
 
-    return rows.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
+    return _judged(pairs, classes.select("k", "n", "r"), judge)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    side = lambda x: sets.select(F.col("k").alias(x), F.col("s").alias(f"s{x}"))
-    rows = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def judge(table: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        sets = [np.frombuffer(x, U64) for x in table.column("s").to_pylist()]
+        ok = np.zeros(len(a), bool)
+        for p, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = sets[x], sets[y]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok[p] = 100 * both >= percent * (len(x) + len(y) - both)
+        return ok
 
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return _judged(pairs, classes.select("k", "s"), judge)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -205,27 +255,38 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def _tiles(placed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one band and different roots; ``placed``: band, k, root, t (the
-    tiles of the band).  Members are dealt to tiles by a hash; each two tiles meet in a task of
-    their own, whatever the size of the band."""
+def _tiles(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (cell, a, b) of members of one band and different roots whose registers leave room
+    for a link; ``placed``: band, k, root, t (the tiles of the band).  Members are dealt to tiles
+    by a hash; each two tiles meet in a cell of their own, whatever the size of the band.  Members
+    bring their registers, so only what passes is ever written as a pair."""
     tiled = placed.withColumn("tile", F.pmod(F.xxhash64("k"), F.col("t")))
+    tiled = tiled.join(classes.select("k", "n", "r").hint("merge"), "k")
     meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1), lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j")))
-    spread = tiled.select("band", "root", "k", "tile", F.explode(meets).alias("meet")).select("band", "root", "k", "tile", "meet.i", "meet.j")
-
-    def pair(table: pa.Table) -> pa.Table:
-        k, root, tile = (table.column(x).to_numpy() for x in ("k", "root", "tile"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        a, b = [], []
-        for x in left.tolist():
-            other = right[(root[right] != root[x]) & ((k[right] > k[x]) if i == j else True)]
-            a.append(np.minimum(k[x], k[other]))
-            b.append(np.maximum(k[x], k[other]))
-        a, b = (np.unique(np.stack([np.concatenate(v) for v in (a, b)]), axis=1)) if a else np.zeros((2, 0), np.int64)
-        return pa.table({"a": a, "b": b})
-
-    return spread.groupBy("band", "i", "j").applyInArrow(pair, "a bigint, b bigint").distinct()
+    spread = tiled.select("band", "root", "k", "tile", "n", "r", F.explode(meets).alias("meet")).select("band", "meet.i", "meet.j", "tile", "k", "root", "n", "r")
+    spread = spread.withColumn("cell", F.xxhash64("band", "i", "j"))
+
+    def pair(table: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        k, root, tile, i, j, n, cell = (table.column(x).to_numpy() for x in ("k", "root", "tile", "i", "j", "n", "cell"))
+        r = np.frombuffer(b"".join(table.column("r").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        for s, e in zip(new.tolist(), [*new[1:].tolist(), len(k)], strict=True):
+            if i[s] == j[s]:
+                a, b = (x + s for x in np.triu_indices(e - s, 1))
+            else:
+                left, right = s + np.flatnonzero(tile[s:e] == i[s]), s + np.flatnonzero(tile[s:e] == j[s])
+                a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+            apart = root[a] != root[b]
+            some.append((a[apart], b[apart]))
+            if sum(len(x) for x, _ in some) >= 8192 or e == len(k):
+                a, b = (np.concatenate(x) for x in zip(*some, strict=True))
+                some.clear()
+                ok = _estimates(r, n, a, b, percent)
+                a, b = a[ok], b[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[a]), pa.array(np.minimum(k[a], k[b])), pa.array(np.maximum(k[a], k[b]))], ["cell", "a", "b"])
+
+    some: list[tuple[np.ndarray, np.ndarray]] = []
+    found = _by_cell(spread, ["band", "i", "j"], pair, "cell bigint, a bigint, b bigint")
+    return found.groupBy("a", "b").agg(F.min("cell").alias("cell"))
 
 
 def near_groups(documents: DataFrame, words: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:
@@ -272,10 +333,15 @@ def near_groups(documents: DataFrame, words: int = SHINGLE, percent: int = SIMIL
     touched = blocks.each(candidates, "c binary, n bigint, r binary, s binary, bands array<bigint>")
     touched = scratch.write(touched.withColumn("k", F.monotonically_increasing_id()), "touched")
     banded_rows = touched.select("k", F.explode("bands").alias("band"))
-    pivots = scratch.write(banded_rows.groupBy("band").agg(F.min("k").alias("pivot")), "pivots")
-    members = scratch.write(banded_rows.join(pivots.hint("merge"), "band"), "members")
-    pairs = members.where("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct()
-    near = scratch.write(_estimated(pairs, touched, percent), "near-1")
+    sizes = scratch.write(banded_rows.groupBy("band").agg(F.min("k").alias("least"), F.count("*").alias("m")), "sizes")
+    members = scratch.write(banded_rows.join(sizes.hint("merge"), "band"), "members")
+    larger = members.where("m > 2").select("band", "k", "m")
+    hubs = larger.join(larger.groupBy("k").agg(F.sum("m").alias("meets")).hint("merge"), "k")
+    hubs = scratch.write(hubs.groupBy("band").agg(F.max_by("k", F.struct("meets", -F.col("k"))).alias("hub")), "hubs")
+    paired = members.join(hubs.hint("merge"), "band", "left").select(F.coalesce("hub", "least").alias("a"), F.col("k").alias("b")).where("a <> b").distinct()
+    # the cells of a pivot: one for the classes of each task that numbered them
+    paired = paired.withColumn("cell", F.xxhash64("a", F.shiftright("b", 33)))
+    near = scratch.write(_estimated(paired, touched, percent), "near-1")
     edges = scratch.write(_verified(near, touched, percent), "edges-1")
     roots = components(edges, scratch, "labels-1")
     # whatever lies in one band and in different components is compared; then all has been
@@ -283,7 +349,7 @@ def near_groups(documents: DataFrame, words: int = SHINGLE, percent: int = SIMIL
     placed = scratch.write(placed, "placed")
     several = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y")
     several = scratch.write(several.select("band", F.ceil(F.col("m") / TILE).alias("t")), "several")
-    near = scratch.write(_estimated(_tiles(placed.join(several.hint("merge"), "band")), touched, percent), "near-2")
+    near = scratch.write(_tiles(placed.join(several.hint("merge"), "band"), touched, percent), "near-2")
     edges = edges.unionByName(scratch.write(_verified(near, touched, percent), "edges-2"))
     roots = components(edges, scratch, "labels-2")
     classes = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
