@@ -11,8 +11,8 @@ Candidates of a band are not paired with each other at once.  In the first round
 compared with one member alone, the one that meets most others over all its bands (an original
 meets its copies more often than these each other), and what is linked becomes one component.
 In the second round members of different components are compared, in tiles of ``TILE`` members
-that bring their registers along; a pair is written only if its estimate passes, and a set is
-sent once to each cell that verifies.  So no link between components is lost, and what is
+that bring their registers along; those with a pair whose estimate passes come again with their
+sets, and only links leave the cell.  So no link between components is lost, and what is
 written follows the members, not their pairs.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing.
@@ -134,8 +134,8 @@ def first_keys(bodies: list[bytes]) -> list[bytes]:
     return [np.packbits(first[e - n : e]).tobytes() for e, n in zip(ends.tolist(), sizes, strict=True)]
 
 
-def band_keys(r: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of each band that is not empty, of rows of registers of sets of n shingles.
+def band_keys(r: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and number of each band that is not empty, of rows of registers of sets of n shingles.
 
     Small sets leave most registers empty, so they have fewer and wider bands: always more than
     the shingles in which two linked sets of the class can differ, or, beyond, enough for a
@@ -143,7 +143,7 @@ def band_keys(r: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, n
     own class of sizes and of the largest set that it can be linked with."""
     largest = np.asarray(n) * 100 // percent
     value = np.where(r > 0, mix(r.astype(U64) + np.arange(REGISTERS, dtype=U64) * U64(0x9E3779B97F4A7C15)), U64(0))
-    rows, keys = [], []
+    rows, keys, names = [], [], []
     for c, (low, high, bands) in enumerate(CLASSES):
         own = np.flatnonzero((largest >= low) & (np.asarray(n) <= high))
         starts = -(-np.arange(bands) * REGISTERS // bands)
@@ -152,9 +152,19 @@ def band_keys(r: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, n
         row, band = np.nonzero(full)
         rows.append(own[row])
         keys.append(mix(total[row, band] + band.astype(U64) * U64(0xC2B2AE3D27D4EB4F) + U64(c)))
-    row, key = np.concatenate(rows), np.concatenate(keys)
+        names.append(band + sum(x for _, _, x in CLASSES[:c]))
+    row, key, name = np.concatenate(rows), np.concatenate(keys), np.concatenate(names)
     order = np.argsort(row, kind="stable")
-    return row[order], key[order]
+    return row[order], key[order], name[order]
+
+
+def _least_common(r: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """The least band key that rows a and b share: of all cells where a pair meets, one's."""
+    row, key, name = band_keys(r, n, percent)
+    keys = np.zeros((len(r), sum(x for _, _, x in CLASSES)), np.int64)
+    keys[row, name] = key.view(np.int64)
+    out = [np.where((keys[x] == keys[y]) & (keys[x] != 0), keys[x], np.iinfo(np.int64).max).min(axis=1) for x, y in ((a[s : s + 4096], b[s : s + 4096]) for s in range(0, len(a), 4096))]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _by_cell(rows: DataFrame, cell: list[str], judge: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], fields: str) -> DataFrame:
@@ -192,6 +202,16 @@ def _estimates(r: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, perce
     return np.concatenate(ok) if ok else np.zeros(0, bool)
 
 
+def _similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether full sets, those at a against those at b, reach the threshold."""
+    ok = np.zeros(len(a), bool)
+    for p, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = sets[x], sets[y]
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        ok[p] = 100 * both >= percent * (len(x) + len(y) - both)
+    return ok
+
+
 def _judged(pairs: DataFrame, values: DataFrame, judge: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """The pairs (cell, a, b) that pass.  The values of a class are sent to a cell once, however
     many of the cell's pairs it is in."""
@@ -225,13 +245,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
 
     def judge(table: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        sets = [np.frombuffer(x, U64) for x in table.column("s").to_pylist()]
-        ok = np.zeros(len(a), bool)
-        for p, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-            x, y = sets[x], sets[y]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok[p] = 100 * both >= percent * (len(x) + len(y) - both)
-        return ok
+        return _similar([np.frombuffer(x, U64) for x in table.column("s").to_pylist()], a, b, percent)
 
     return _judged(pairs, classes.select("k", "s"), judge)
 
@@ -255,38 +269,58 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def _tiles(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (cell, a, b) of members of one band and different roots whose registers leave room
-    for a link; ``placed``: band, k, root, t (the tiles of the band).  Members are dealt to tiles
-    by a hash; each two tiles meet in a cell of their own, whatever the size of the band.  Members
-    bring their registers, so only what passes is ever written as a pair."""
+def _meeting(table: pa.Table, new: np.ndarray, r: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows a and b of a cell that have different roots and whose registers leave room for a
+    link, some thousands at once; a pair that meets in several bands comes in one of them."""
+    band, root, tile, i, j = (table.column(x).to_numpy() for x in ("band", "root", "tile", "i", "j"))
+    some: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for s, e in zip(new.tolist(), [*new[1:].tolist(), len(band)], strict=True):
+        if i[s] == j[s]:
+            a, b = (x + s for x in np.triu_indices(e - s, 1))
+        else:
+            left, right = s + np.flatnonzero(tile[s:e] == i[s]), s + np.flatnonzero(tile[s:e] == j[s])
+            a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+        apart = root[a] != root[b]
+        some.append((a[apart], b[apart]))
+        size += int(apart.sum())
+        if size >= 8192 or e == len(band):
+            a, b = (np.concatenate(x) for x in zip(*some, strict=True))
+            some, size = [], 0
+            ok = _estimates(r, n, a, b, percent)
+            a, b = a[ok], b[ok]
+            own = _least_common(r, n, a, b, percent) == band[a] if len(a) else np.zeros(0, bool)
+            yield a[own], b[own]
+
+
+def _tiled(placed: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between members of one band and different roots; ``placed``: band, k, root, t
+    (the tiles of the band).  Members are dealt to tiles by a hash; each two tiles meet in a cell
+    of their own, whatever the size of the band.  Members bring their registers first, and those
+    with a pair that may be a link come again with their sets; pairs stay within the cell."""
     tiled = placed.withColumn("tile", F.pmod(F.xxhash64("k"), F.col("t")))
     tiled = tiled.join(classes.select("k", "n", "r").hint("merge"), "k")
     meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1), lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j")))
     spread = tiled.select("band", "root", "k", "tile", "n", "r", F.explode(meets).alias("meet")).select("band", "meet.i", "meet.j", "tile", "k", "root", "n", "r")
-    spread = spread.withColumn("cell", F.xxhash64("band", "i", "j"))
+    cell = ["band", "i", "j"]
 
-    def pair(table: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k, root, tile, i, j, n, cell = (table.column(x).to_numpy() for x in ("k", "root", "tile", "i", "j", "n", "cell"))
+    def hopeful(table: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
         r = np.frombuffer(b"".join(table.column("r").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        for s, e in zip(new.tolist(), [*new[1:].tolist(), len(k)], strict=True):
-            if i[s] == j[s]:
-                a, b = (x + s for x in np.triu_indices(e - s, 1))
-            else:
-                left, right = s + np.flatnonzero(tile[s:e] == i[s]), s + np.flatnonzero(tile[s:e] == j[s])
-                a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-            apart = root[a] != root[b]
-            some.append((a[apart], b[apart]))
-            if sum(len(x) for x, _ in some) >= 8192 or e == len(k):
-                a, b = (np.concatenate(x) for x in zip(*some, strict=True))
-                some.clear()
-                ok = _estimates(r, n, a, b, percent)
-                a, b = a[ok], b[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(cell[a]), pa.array(np.minimum(k[a], k[b])), pa.array(np.maximum(k[a], k[b]))], ["cell", "a", "b"])
+        any_pair = np.zeros(table.num_rows, bool)
+        for a, b in _meeting(table, new, r, table.column("n").to_numpy(), percent):
+            any_pair[a] = any_pair[b] = True
+        yield from table.select([*cell, "tile", "k", "root"]).filter(pa.array(any_pair)).combine_chunks().to_batches()
 
-    some: list[tuple[np.ndarray, np.ndarray]] = []
-    found = _by_cell(spread, ["band", "i", "j"], pair, "cell bigint, a bigint, b bigint")
-    return found.groupBy("a", "b").agg(F.min("cell").alias("cell"))
+    def links(table: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sets = [np.frombuffer(x, U64) for x in table.column("s").to_pylist()]
+        r = np.array([registers(x) for x in sets], np.uint16).reshape(-1, REGISTERS)
+        k, n = table.column("k").to_numpy(), np.array([len(x) for x in sets], np.int64)
+        for a, b in _meeting(table, new, r, n, percent):
+            ok = _similar(sets, a, b, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[a], k[b])[ok]), pa.array(np.maximum(k[a], k[b])[ok])], ["a", "b"])
+
+    left = scratch.write(_by_cell(spread, cell, hopeful, "band bigint, i bigint, j bigint, tile bigint, k bigint, root bigint"), "hopeful")
+    return _by_cell(left.join(classes.select("k", "s").hint("merge"), "k"), cell, links, "a bigint, b bigint").distinct()
 
 
 def near_groups(documents: DataFrame, words: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:
@@ -308,7 +342,7 @@ def near_groups(documents: DataFrame, words: int = SHINGLE, percent: int = SIMIL
     def banded(block: Block) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         own = Profiles(block, words).own(block.told, shards)
         r = np.array([registers(x) for _, x in own], np.uint16).reshape(-1, REGISTERS)
-        return own, r, *band_keys(r, np.array([len(x) for _, x in own], np.int64), percent)
+        return own, r, *band_keys(r, np.array([len(x) for _, x in own], np.int64), percent)[:2]
 
     blocks.ask("bands", lambda block, n: Keys(banded(block)[3], None, n).messages(), count_keys)
 
@@ -349,8 +383,8 @@ def near_groups(documents: DataFrame, words: int = SHINGLE, percent: int = SIMIL
     placed = scratch.write(placed, "placed")
     several = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y")
     several = scratch.write(several.select("band", F.ceil(F.col("m") / TILE).alias("t")), "several")
-    near = scratch.write(_tiles(placed.join(several.hint("merge"), "band"), touched, percent), "near-2")
-    edges = edges.unionByName(scratch.write(_verified(near, touched, percent), "edges-2"))
+    links = _tiled(placed.join(several.hint("merge"), "band"), touched, percent, scratch)
+    edges = edges.select("a", "b").unionByName(scratch.write(links, "edges-2"))
     roots = components(edges, scratch, "labels-2")
     classes = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     own = touched.select("c", "k").join(roots.hint("merge"), "k", "left").select("c", F.coalesce("root", "k").alias("root"))
