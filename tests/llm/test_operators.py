@@ -121,6 +121,28 @@ def test_near_groups(docs, empty):
     assert minhash.near_groups(empty).count() == 0
 
 
+def test_near_groups_in_tiles(spark, monkeypatch):
+    """Groups around the threshold, far larger than a tile, without an original among them."""
+    monkeypatch.setattr(minhash, "TILE", 4)
+    rng, rows = random.Random(5), []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(80)]
+        for _ in range(30):
+            copy = list(base)
+            for at in rng.sample(range(80), rng.choice((2, 4, 7))):
+                copy[at] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = {i: {tuple(w[j : j + 2]) for j in range(len(w) - 1)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert 2 < len(set(root.values())) < len(rows)
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == root
+
+
 def test_top_k(spark):
     rnd = np.random.default_rng(1)
     rows = [(i, rnd.normal(size=8).tolist()) for i in range(300)] + [(301, None), (302, [1.0, None] + [0.0] * 6), (400, [float("nan")] * 8), (303, rnd.normal(size=8).tolist())]
