@@ -143,6 +143,26 @@ def test_near_groups_in_tiles(spark, monkeypatch):
     assert got == root
 
 
+def test_near_groups_of_small_sets(spark):
+    """Linked pairs whose common shingles all fall into the band that the other one spoils."""
+    pairs = [("s", i, 5, 6) for i in (1720, 2707, 3490)] + [("t", i, 6, 7) for i in (5886, 6049, 8637)] + [("u", i, 9, 11) for i in (15580, 18087, 50560)] + [("v", i, 257, 321) for i in (23762, 26824, 35806)]
+    rows = [(10 * p + k, " ".join(f"{name}{i}w{j}" for j in range(n))) for p, (name, i, *sizes) in enumerate(pairs) for k, n in enumerate(sizes)]
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_small_sets_share_a_key(percent):
+    rnd = np.random.default_rng(percent)
+    for _ in range(2000):
+        both, a, b = rnd.integers(1, 17), rnd.integers(0, 4), rnd.integers(0, 4)
+        x = rnd.integers(0, 1 << 63, both + a + b, dtype=np.uint64)
+        sets = [np.sort(x[: both + a]), np.sort(np.concatenate([x[:both], x[both + a :]]))]
+        if a + b and max(map(len, sets)) <= minhash.SMALL and 100 * both >= percent * len(x):
+            row, key = minhash.small_keys(sets, percent)
+            assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+
+
 def test_top_k(spark):
     rnd = np.random.default_rng(1)
     rows = [(i, rnd.normal(size=8).tolist()) for i in range(300)] + [(301, None), (302, [1.0, None] + [0.0] * 6), (400, [float("nan")] * 8), (303, rnd.normal(size=8).tolist())]

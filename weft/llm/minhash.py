@@ -2,7 +2,8 @@
 
 A document is the set of distinct shingles of its words.  The shingles fall into 252 buckets; of
 each bucket's least hash a register keeps the count of leading zeros (6 bits) and the next
-10 bits.  Documents that agree in all six registers of a band, not all empty, are candidates.
+10 bits.  Documents that agree in all registers of a band, not all empty, are candidates; sets
+of up to ``SMALL`` shingles have exact keys instead, which no linked pair of them is without.
 Equal sets are one class first, so copies cost one row each.  Of candidates the registers give
 an estimate of the Jaccard similarity, corrected for registers that agree by chance; pairs
 that may reach the threshold are verified on the full sets of 64-bit shingle hashes.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,10 @@ from weft.llm.common import ITEMS_A, U64, Scratch, mix, slices, word_hashes, wor
 
 SHINGLE, SIMILAR = 2, 80
 REGISTERS = 252
-#: Classes of set sizes: from, to, bands.
-CLASSES = ((1, 8, 5), (9, 16, 7), (17, 32, 11), (33, 64, 19), (65, 320, 28), (321, 1 << 62, 42))
+#: Shingles of a set with exact keys, at most, and shingles in such a key.
+SMALL, TOGETHER = 16, 4
+#: Classes of larger set sizes: from, to, bands.
+CLASSES = ((SMALL + 1, 32, 11), (33, 64, 19), (65, 160, 28), (161, 1 << 62, 42))
 MANTISSA = 10
 #: Members of a band that one comparison task pairs with as many others.
 TILE = 512
@@ -134,13 +138,33 @@ def first_keys(bodies: list[bytes]) -> list[bytes]:
     return [np.packbits(first[e - n : e]).tobytes() for e, n in zip(ends.tolist(), sizes, strict=True)]
 
 
+def small_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of each exact key of sets of up to ``SMALL`` shingles, given sorted.
+
+    Two sets that are linked and not equal share at least percent / (100 - percent) shingles, and
+    each shares at least percent of its own.  So the least few that they share lie at the front
+    of both, before the places that the others need: each choice of as many there is a key."""
+    few = min(TOGETHER, -(-percent // max(1, 100 - percent)))
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for n in range(few, SMALL + 1):
+        own = np.flatnonzero(sizes == n)
+        if len(own):
+            front = n - max(few, -(-percent * n // 100)) + few
+            chosen = np.array(list(combinations(range(front), few)))
+            values = mix(np.array([sets[i] for i in own.tolist()]) ^ U64(0x94D049BB133111EB))
+            rows.append(np.repeat(own, len(chosen)))
+            keys.append(mix(values[:, chosen].sum(axis=2, dtype=U64) + U64(few)).ravel())
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def band_keys(r: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, key and number of each band that is not empty, of rows of registers of sets of n shingles.
 
-    Small sets leave most registers empty, so they have fewer and wider bands: always more than
-    the shingles in which two linked sets of the class can differ, or, beyond, enough for a
-    miss of under one in a hundred thousand at the threshold.  A set joins the bands of its
-    own class of sizes and of the largest set that it can be linked with."""
+    Smaller sets leave more registers empty, so they have fewer and wider bands; the smallest have
+    none (``small_keys``).  A pair is lost when each band is spoiled by a shingle of one set
+    alone or is empty.  A set joins the bands of its own class of sizes and of the largest set
+    that it can be linked with."""
     largest = np.asarray(n) * 100 // percent
     value = np.where(r > 0, mix(r.astype(U64) + np.arange(REGISTERS, dtype=U64) * U64(0x9E3779B97F4A7C15)), U64(0))
     rows, keys, names = [], [], []
@@ -159,7 +183,8 @@ def band_keys(r: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, n
 
 
 def _least_common(r: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """The least band key that rows a and b share: of all cells where a pair meets, one's."""
+    """The least band key that rows a and b share, or the largest number: of all cells of bands
+    where a pair meets, one's."""
     row, key, name = band_keys(r, n, percent)
     keys = np.zeros((len(r), sum(x for _, _, x in CLASSES)), np.int64)
     keys[row, name] = key.view(np.int64)
@@ -271,7 +296,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 def _meeting(table: pa.Table, new: np.ndarray, r: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows a and b of a cell that have different roots and whose registers leave room for a
-    link, some thousands at once; a pair that meets in several bands comes in one of them."""
+    link, some thousands at once; a pair that meets in several bands comes in one of them, and
+    one that meets by exact keys alone comes with each."""
     band, root, tile, i, j = (table.column(x).to_numpy() for x in ("band", "root", "tile", "i", "j"))
     some: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -289,7 +315,8 @@ def _meeting(table: pa.Table, new: np.ndarray, r: np.ndarray, n: np.ndarray, per
             some, size = [], 0
             ok = _estimates(r, n, a, b, percent)
             a, b = a[ok], b[ok]
-            own = _least_common(r, n, a, b, percent) == band[a] if len(a) else np.zeros(0, bool)
+            least = _least_common(r, n, a, b, percent) if len(a) else np.zeros(0, np.int64)
+            own = (least == band[a]) | (least == np.iinfo(np.int64).max)
             yield a[own], b[own]
 
 
@@ -342,7 +369,11 @@ def near_groups(documents: DataFrame, words: int = SHINGLE, percent: int = SIMIL
     def banded(block: Block) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         own = Profiles(block, words).own(block.told, shards)
         r = np.array([registers(x) for _, x in own], np.uint16).reshape(-1, REGISTERS)
-        return own, r, *band_keys(r, np.array([len(x) for _, x in own], np.int64), percent)[:2]
+        row, key, _ = band_keys(r, np.array([len(x) for _, x in own], np.int64), percent)
+        small, exact = small_keys([x for _, x in own], percent)
+        row, key = np.concatenate([row, small]), np.concatenate([key, exact])
+        order = np.argsort(row, kind="stable")
+        return own, r, row[order], key[order]
 
     blocks.ask("bands", lambda block, n: Keys(banded(block)[3], None, n).messages(), count_keys)
 
