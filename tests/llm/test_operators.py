@@ -205,6 +205,21 @@ def test_secrets(docs):
     assert texts[14] == "[SECRET] ok" and texts[0] is None
 
 
+def test_values_of_letters_and_with_commas():
+    words = secretscan.dictionary(vocabulary("word_bpe_49k.json"))
+
+    def found(text):
+        base = secretscan.base_spans(text)
+        return [text[s:e] for s, _, e in secretscan.added_spans(text, base, words)]
+
+    for context in ("pwd: ", "passphrase is ", "access_key="):
+        assert found(context + "QwXzRtYpLkMnBvGh, and") == ["QwXzRtYpLkMnBvGh"]
+    assert found("password=qhwzkvtx") == ["qhwzkvtx"]
+    assert found("password: xK,9fQ2$vLw81zT") == ["xK,9fQ2$vLw81zT"]
+    assert found("pwd: 'x\"K9fQ2$vLw81zT'") == ["x\"K9fQ2$vLw81zT"] and found("pwd: xK9\"fQ2$vLw\"") == ["xK9\"fQ2$vLw"]
+    assert found("the password is correct, the token is required and auth is authentication") == []
+
+
 def test_guess_cost():
     words = secretscan.dictionary(vocabulary("word_bpe_49k.json"))
     assert secretscan.guess_cost("aaaaaaaaaa", words) < secretscan.guess_cost("20240101", words) < secretscan.guess_cost("x9$Kq!72zPfd", words)

@@ -31,10 +31,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN = 12
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Credential contexts of the method; the value may hold any visible ASCII character.
+#: Credential contexts of the method; the value may hold any visible ASCII character.  One that a
+#: quote opens ends at that quote, another one at a quote without a letter or digit after it.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)"""
-    r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)["']?([!#-&(-+\--~]+)""",
+    r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)(?:"([!#-~]+)|'([!-&(-~]+)|((?:[!#-&(-~]|["'](?=[A-Za-z0-9]))+))""",
     re.I | re.A,
 )
 #: Every match of ASSIGN or CONTEXT holds one of these, in lower case.
@@ -136,13 +137,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]], words: dict[str, fl
     """Values in credential contexts that no base span covers and that are costly to guess."""
     out = []
     for m in CONTEXT.finditer(text) if hinted(text) else ():
-        start, end = m.span(1)
-        value = m[1].rstrip(".,;:!?)")
+        start = m.start(m.lastindex)
+        value = m[m.lastindex].rstrip(".,;:!?)")
         end = start + len(value)
         if len(value) < SHORTEST or any(s <= start and end <= e for s, _, e in base):
             continue
-        if not any(c.isdigit() or not c.isalnum() for c in value):  # a plain word in running text
-            continue
         if guess_cost(value, words) >= MIN_LOG10:
             out.append((start, 3, end))
     return out
