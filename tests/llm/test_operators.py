@@ -195,6 +195,19 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    path, mark = vocabulary("byte_bpe_50k.tiktoken"), "<|endoftext|>"
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = ["plain text", f"a {mark} b", mark, mark + mark, f"it's{mark}'s  {mark}  ", f"<|{mark}|>", "<|endoftext|", None, f"end {mark}"]
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    assert ids[1] == [64, 220, 50256, 275, 1]
+    got = {}
+    for r in packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path, keep_ids=True).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(r.ids)
+        got.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    assert {i: [x for _, own in sorted(parts) for x in own] for i, parts in got.items()} == ids
+
+
 def test_secrets(docs):
     got = {r.doc_id: r for r in secretscan.scan_documents(docs, vocabulary("word_bpe_49k.json")).collect()}
     assert (got[14].n_assign, got[14].n_hex, got[14].spans) == (1, 1, "assign:0:25,hex:9:25")

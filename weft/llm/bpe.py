@@ -15,6 +15,9 @@ import array
 import base64
 import hashlib
 import heapq
+import json
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -249,7 +252,10 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class LibraryCodec(Codec):
-    """The same ids with misses resolved by tiktoken's own merges over the same ranks."""
+    """The ids of ``tokenizers`` with misses resolved by tiktoken's own merges over the same ranks.
+
+    If a JSON file of the same name lies beside the rank file, texts are cut at its added tokens,
+    the leftmost first and the longest among equals, and these have their own ids."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -257,10 +263,30 @@ class LibraryCodec(Codec):
 
         super().__init__(path, lookup=False)
         self.library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+        self.added: dict[str, int] = {}
+        if os.path.exists(beside := os.path.splitext(path)[0] + ".json"):
+            with open(beside, encoding="utf-8") as f:
+                own = json.load(f)
+            for token in own.get("added_tokens", []):
+                if own.get("normalizer") or token["lstrip"] or token["rstrip"] or token["single_word"]:
+                    raise ValueError(f"added token {token['content']!r} of {beside} is not matched as it stands")
+                self.added[token["content"]] = token["id"]
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def piece_ids(self, piece: bytes) -> list[int]:
         return self.library._encode_single_piece(piece)
 
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not any(token in t for token in self.added for t in texts):
+            return super().encode_batch(texts)
+        parts = [self.cut.split(t) for t in texts]  # text, token, text, ..., text
+        ids, counts = super().encode_batch([p for own in parts for p in own[::2]])
+        tokens = [len(own) // 2 for own in parts]
+        last = np.cumsum(np.array(tokens) + 1) - 1  # the last part of each text: no token after it
+        ends = np.cumsum(counts)
+        ids = np.insert(ids, np.delete(ends, last), [self.added[p] for own in parts for p in own[1::2]])
+        return ids, np.diff(ends[last], prepend=0) + tokens
+
 
 @kept
 def library_codec(path: str) -> LibraryCodec:
