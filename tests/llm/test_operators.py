@@ -233,6 +233,16 @@ def test_values_of_letters_and_with_commas():
     assert found("the password is correct, the token is required and auth is authentication") == []
 
 
+def test_long_values_are_costed_like_short_ones():
+    words = secretscan.dictionary(vocabulary("word_bpe_49k.json"))
+    assert secretscan.guess_cost("-" * 5000, words) < secretscan.MIN_LOG10
+    for n in (200, 256, 257, 300):
+        for value in ("-" * n, "ab1-" * n, ("=" * n + "-" * n)):
+            assert secretscan.guess_cost(value, words) < secretscan.MIN_LOG10
+            assert secretscan.added_spans("pwd: " + value, [], words) == []
+    assert secretscan.guess_cost("x9$Kq!72zPfd" + "-" * 300, words) >= secretscan.MIN_LOG10
+
+
 def test_guess_cost():
     words = secretscan.dictionary(vocabulary("word_bpe_49k.json"))
     assert secretscan.guess_cost("aaaaaaaaaa", words) < secretscan.guess_cost("20240101", words) < secretscan.guess_cost("x9$Kq!72zPfd", words)

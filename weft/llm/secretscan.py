@@ -6,9 +6,8 @@ programme splits it into dictionary words, dates, repeats, keyboard walks and br
 spans so that the product of their guesses is least.  A value whose least cost reaches
 ``MIN_LOG10`` is reported as kind ``guess``, unless a base span covers it already.
 
-Null and empty texts have no spans.  Repeated rows give repeated results.  Values longer than
-``LONGEST`` bytes are costed as brute force over their distinct characters' class, which only
-bounds the time of the quadratic programme: they are reported.
+Null and empty texts have no spans.  Repeated rows give repeated results.  Values of any
+length are costed alike; the programme's time is linear in the length.
 """
 
 from __future__ import annotations
@@ -41,7 +40,7 @@ CONTEXT = re.compile(
 #: Every match of ASSIGN or CONTEXT holds one of these, in lower case.
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
 #: Least log10 of guesses of a value that is reported, and its least length.
-MIN_LOG10, SHORTEST, LONGEST = 9.0, 8, 256
+MIN_LOG10, SHORTEST = 9.0, 8
 #: Rows of a keyboard.
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
@@ -80,43 +79,41 @@ def _brute(part: str) -> float:
 
 
 def guess_cost(value: str, words: dict[str, float]) -> float:
-    """log10 of the guesses of the cheapest segmentation."""
+    """log10 of the guesses of the cheapest segmentation, in time linear in the value."""
     n = len(value)
-    if n > LONGEST:
-        return _brute(value)
     low = value.lower()
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # spans by their end: start, cost
-    for i in range(n):
-        for j in range(i + 3, min(n, i + 20) + 1):
-            if (rank := words.get(low[i:j])) is not None:
-                capitals = sum(c.isupper() for c in value[i:j])
-                ends[j].append((i, rank + (math.log10(2) * min(capitals, j - i - capitals) + math.log10(2) if capitals else 0)))
-    for i in range(n):
-        if (m := DATE.match(value, i)) and len(m[0]) >= 4:
-            ends[m.end()].append((i, math.log10(365 * 120) if len(m[0]) > 4 else math.log10(120)))
-    i = 0
-    while i < n:  # repeats of one unit
-        for unit in (1, 2, 3, 4):
-            j = i + unit
-            while low[j : j + unit] == low[i : i + unit] and j + unit <= n:
-                j += unit
-            if j - i >= 2 * unit and j - i >= 3:
-                ends[j].append((i, unit * math.log10(36) + math.log10((j - i) / unit)))
-        i += 1
-    i = 0
-    while i < n - 1:  # keyboard walks
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in NEAR:
-            j += 1
-        if j - i >= 3:
-            ends[j].append((i, math.log10(47) + (j - i - 1) * math.log10(4)))
-        i = max(i + 1, j - 1) if j - i >= 3 else i + 1
     per = _brute(value) / n if n else 0.0
     best = [0.0] + [math.inf] * n
-    for j in range(1, n + 1):
-        best[j] = best[j - 1] + per  # one more character of a brute-force span
-        for i, cost in ends[j]:
-            best[j] = min(best[j], best[i] + cost)
+    same = [0] * 5  # by unit: the first place from here on that differs from the one a unit later
+    walk = 0  # where the next keyboard walk may start
+    for i in range(n):
+        at = best[i]
+        spans = [(i + 1, per)]  # one more character of a brute-force span
+        for j in range(i + 1, min(n, i + 20) + 1):
+            if not low[j - 1].isalpha():
+                break
+            if j >= i + 3 and (rank := words.get(low[i:j])) is not None:
+                capitals = sum(c.isupper() for c in value[i:j])
+                spans.append((j, rank + (math.log10(2) * min(capitals, j - i - capitals) + math.log10(2) if capitals else 0)))
+        if value[i].isdigit() and (m := DATE.match(value, i)):
+            spans.append((m.end(), math.log10(365 * 120) if len(m[0]) > 4 else math.log10(120)))
+        for unit in (1, 2, 3, 4):  # repeats of one unit
+            k = max(same[unit], i)
+            while k + unit < n and low[k] == low[k + unit]:
+                k += 1
+            same[unit] = k
+            times = (k - i) // unit + 1
+            if times >= 2 and times * unit >= 3:
+                spans.append((i + times * unit, unit * math.log10(36) + math.log10(times)))
+        if i == walk:
+            j = i + 1
+            while j < n and low[j - 1 : j + 1] in NEAR:
+                j += 1
+            if j - i >= 3:
+                spans.append((j, math.log10(47) + (j - i - 1) * math.log10(4)))
+            walk = max(i + 1, j - 1) if j - i >= 3 else i + 1
+        for j, cost in spans:
+            best[j] = min(best[j], at + cost)
     return best[n]
 
 
