@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,12 +54,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="weft-"))
     return base.rstrip("/")
 
 
 class Scratch:
-    """Tables of one operator call; ``close`` removes all of them but the result."""
+    """Tables of one operator call.  Leaving it removes all of them but those that a lazy result
+    still reads (``keep``), which go when the session's file systems are closed."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -68,9 +72,12 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        if not keep:
+        if keep:
+            where, files = self._place(path)
+            files.deleteOnExit(where)
+        else:
             self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -79,10 +86,19 @@ class Scratch:
             self.paths.remove(path)
             self._delete(path)
 
+    def _place(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        where, files = self._place(path)
+        files.delete(where, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def close(self) -> None:
         for t in self.tables:
@@ -123,7 +139,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes modulo 2**64 of any range of a sequence, from one running sum."""
+    """Polynomial hashes modulo 2**64 of ranges of a sequence, from one running sum.  For ranges of
+    up to a hundred values: long self-similar sequences can cancel out under any odd base."""
 
     def __init__(self, base: int):
         self.base, self.inverse = U64(base), U64(pow(base, -1, 1 << 64))
@@ -173,6 +190,37 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return data, starts, ends, np.searchsorted(starts, first)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rolling: Rolling = BYTES_A) -> np.ndarray:
-    sums = rolling.sums(data.astype(U64) + U64(1))
-    return mix(rolling.of(sums, starts, ends))
+#: Bytes of a run from which on a library hash takes over.
+LONG = 256
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of ranges of bytes.  Eight bytes at a time are mixed in, each time by a
+    bijection that is not linear, so no arrangement of equal parts cancels out as it can in a
+    polynomial; other seeds give independent hashes."""
+    left = ends - starts
+    h = mix(left.astype(U64) + U64(seed))
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))
+    long = np.flatnonzero(left > LONG)
+    live = np.flatnonzero((left > 0) & (left <= LONG)) if len(long) else np.flatnonzero(left > 0)
+    at, left = starts[live], left[live]
+    while len(live):
+        part = eight[at]
+        short = left < 8
+        part[short] &= (U64(1) << (U64(8) * left[short].astype(U64))) - U64(1)
+        h[live] = mix((h[live] ^ part) * U64(0x9E3779B97F4A7C15))
+        on = left > 8
+        live, at, left = live[on], at[on] + 8, left[on] - 8
+    key = seed.to_bytes(8, "little")
+    for i in long.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return h
+
+
+#: Seeds of two independent word hashes.
+FIRST, SECOND = 0x243F6A8885A308D3, 0x13198A2E03707344
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = FIRST) -> np.ndarray:
+    return run_hashes(data, starts, ends, seed)

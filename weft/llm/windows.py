@@ -6,7 +6,8 @@ window in fourteen is one.  Level 9 finds the anchors whose words occur again an
 18 extends those alone to twice the length, to the right and to the left (any 35 words around
 an anchor hold one of the two); level 35, twice 18 cut to the window, takes the windows of
 the anchors that are left.  At each level only repeated strings go on.  The last level
-compares 128-bit fingerprints of the words.
+compares 128-bit fingerprints: two independent 64-bit hashes of each word (``run_hashes``), and of
+their sequence.
 
 Null and empty texts and texts of fewer than 35 words lose nothing.  Repeated rows are
 documents of their own: each is a repeat of the other.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weft.llm.blocks import Block, Blocks, Keys, count_keys, marked_runs, owners
-from weft.llm.common import BYTES_A, BYTES_B, ITEMS_A, ITEMS_B, U64, Scratch, mix, word_hashes, words_of
+from weft.llm.common import ITEMS_A, ITEMS_B, SECOND, U64, Scratch, mix, word_hashes, words_of
 
 WINDOW = 35
 
@@ -64,7 +65,7 @@ class Words:
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start = np.flatnonzero(self.live)
-        b = ITEMS_B.sums(word_hashes(self.data, self.starts, self.ends, BYTES_B))
+        b = ITEMS_B.sums(word_hashes(self.data, self.starts, self.ends, SECOND))
         return start, mix(ITEMS_A.of(self.sums, start, start + self.window)), mix(ITEMS_B.of(b, start, start + self.window))
 
 
@@ -92,7 +93,11 @@ def _after_second(block: Block, window: int, shards: int) -> Words:
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with ``keep_text``, kept (its words joined)."""
-    scratch = Scratch(documents.sparkSession)
+    with Scratch(documents.sparkSession) as scratch:
+        return _remove(documents, window, keep_text, scratch)
+
+
+def _remove(documents: DataFrame, window: int, keep_text: bool, scratch: Scratch) -> DataFrame:
     blocks = Blocks(documents, scratch)
     shards = blocks.shards
     blocks.ask("level1", lambda block, n: _anchors(Words(block, window), n).messages(), count_keys)
@@ -116,6 +121,4 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool =
         yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     result = blocks.each(finish, f"doc_id {blocks.kind}, n_words bigint, n_removed bigint, kept_sha256 string{extra}")
-    result = scratch.write(result, "result", keep=True)
-    scratch.close()
-    return result
+    return scratch.write(result, "result", keep=True)
