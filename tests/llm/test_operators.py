@@ -105,6 +105,74 @@ def test_earlier_bytes(docs, empty):
     assert suffix.remove_earlier(empty).count() == 0
 
 
+def _earlier(rows, length=50):
+    seen, want = {}, {}
+    for i, t in sorted(rows):
+        gone = np.zeros(len(t), bool)
+        for j in range(len(t) - length + 1):
+            if seen.setdefault(t[j : j + length], i) < i:
+                gone[j : j + length] = True
+        want[i] = (int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest())
+    return want
+
+
+def test_earlier_bytes_around_hot_anchors(spark):
+    """A phrase in all documents, in different surroundings, with a second anchor for its strings."""
+    rnd = random.Random(11)
+    some = ["".join(rnd.choice("abcdefgh ") for _ in range(40)) for _ in range(6)]
+    rows = [(i, (rnd.choice(some) + "the phrase of all documents" + rnd.choice(some) + "-" * rnd.choice((0, 90)) + str(i)).encode()) for i in range(60)]
+    frame = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id bigint, text string").repartition(5)
+    for hot in (1, 10, 1 << 40):
+        assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix.remove_earlier(frame, hot=hot).collect()} == _earlier(rows)
+
+
+def test_shard_beyond_its_memory():
+    """All of a shard's queues go to disk, and batches are as small as an anchor allows."""
+    rnd = random.Random(2)
+    base = ["".join(rnd.choice("ab ") for _ in range(80)).encode() for _ in range(30)]
+    messages, texts = [], []
+    for m in range(8):
+        own = []
+        for _ in range(20):
+            b = rnd.randrange(30)
+            own.append((rnd.randrange(50), b, base[b][: rnd.randrange(52, 80)]))
+        texts += own
+        body = np.array([d for d, *_ in own], "<i8").tobytes() + (np.array([b for _, b, _ in own], np.uint64) << np.uint64(40)).tobytes()
+        messages.append(len(own).to_bytes(4, "little") + body + np.array([len(t) for *_, t in own], "<u4").tobytes() + b"".join(t for *_, t in own))
+    least = {}
+    for d, _, t in texts:
+        for j in range(len(t) - 49):
+            least[t[j : j + 50]] = min(d, least.get(t[j : j + 50], d))
+    want = [[least[t[j : j + 50]] < d for d, _, t in texts[20 * m : 20 * m + 20] for j in range(len(t) - 49)] for m in range(8)]
+    for memory, batch in ((100, 1), (1 << 20, 1 << 20)):
+        got = suffix.judge_regions(iter([messages[:3], messages[3:]]), 50, memory, batch)
+        assert [np.unpackbits(np.frombuffer(g, np.uint8), count=len(w)).astype(bool).tolist() for g, w in zip(got, want)] == want
+
+
+def test_words_without_structure_to_exploit(spark):
+    """Complementary Thue-Morse words have equal polynomial hashes modulo 2**64 under any base."""
+    t = "a"
+    while len(t) < 4096:
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    fill = [f"w{i}" for i in range(34)]
+    rows = [(0, t), (1, u), (2, " ".join([t, *fill])), (3, " ".join([u, *fill]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.component_id for r in minhash.near_groups(frame).collect()} == {0, 1, 2}  # 2 and 3 share 33 of 35 shingles
+    assert {r.n_removed for r in windows.remove_repeats(frame).collect()} == {0}
+
+
+def test_blocks_under_many_shards(spark, monkeypatch):
+    from weft.llm import blocks
+
+    frame = spark.createDataFrame([r[:2] for r in corpus()], "doc_id bigint, text string").repartition(4)
+    few = [sorted(map(tuple, f(frame).collect())) for f in (windows.remove_repeats, suffix.remove_earlier)]
+    monkeypatch.setattr(blocks, "SHARD", 16)
+    monkeypatch.setattr(suffix, "SHARD", 16)
+    monkeypatch.setattr(blocks, "BUCKETS", 2)
+    assert [sorted(map(tuple, f(frame).collect())) for f in (windows.remove_repeats, suffix.remove_earlier)] == few
+
+
 def test_near_groups(docs, empty):
     sets = {}
     for i, t, *_ in corpus():

@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from weft.llm.blocks import Block, Blocks, Keys, count_keys
+from weft.llm.blocks import Block, Blocks, Keys, count_keys, whole
 from weft.llm.common import ITEMS_A, U64, Scratch, mix, slices, word_hashes, words_of
 
 SHINGLE, SIMILAR = 2, 80
@@ -124,8 +124,9 @@ class Profiles:
         return list(seen.items())
 
 
-def first_keys(bodies: list[bytes]) -> list[bytes]:
+def first_keys(parts: Iterator[list[bytes]]) -> list[bytes]:
     """The shard's side: each 128-bit key is given to one of the messages that have it."""
+    bodies = whole(parts)
     sizes = [int.from_bytes(x[:4], "little") for x in bodies]
     a = np.concatenate([np.frombuffer(x, U64, n, 4) for x, n in zip(bodies, sizes, strict=True)])
     b = np.concatenate([np.frombuffer(x, U64, n, 4 + 8 * n) for x, n in zip(bodies, sizes, strict=True)])
@@ -352,7 +353,11 @@ def _tiled(placed: DataFrame, classes: DataFrame, percent: int, scratch: Scratch
 
 def near_groups(documents: DataFrame, words: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``documents``."""
-    scratch = Scratch(documents.sparkSession)
+    with Scratch(documents.sparkSession) as scratch:
+        return _groups(documents, words, percent, scratch)
+
+
+def _groups(documents: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     blocks = Blocks(documents, scratch)
     shards = blocks.shards
 
@@ -427,9 +432,7 @@ def near_groups(documents: DataFrame, words: int = SHINGLE, percent: int = SIMIL
     lone = rows.where("c is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     kept = F.col("doc_id").eqNullSafe(F.col("component"))
     result = joined.unionByName(lone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
-    result = scratch.write(result, "result", keep=True)
-    scratch.close()
-    return result
+    return scratch.write(result, "result", keep=True)
 
 
 def keep_one(documents: DataFrame, words: int = 5, percent: int = SIMILAR) -> DataFrame:
