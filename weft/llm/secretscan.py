@@ -6,8 +6,10 @@ programme splits it into dictionary words, dates, repeats, keyboard walks and br
 spans so that the product of their guesses is least.  A value whose least cost reaches
 ``MIN_LOG10`` is reported as kind ``guess``, unless a base span covers it already.
 
-Null and empty texts have no spans.  Repeated rows give repeated results.  Values of any
-length are costed alike; the programme's time is linear in the length.
+Null and empty texts have no spans.  Repeated rows give repeated results.  An empty table gives
+an empty result, and columns other than doc_id and text are not read.  Texts and values of any
+length are treated alike: the programme has no cut by length, and of the starts of a repeat it
+keeps only those that can still matter.
 """
 
 from __future__ import annotations
@@ -61,15 +63,23 @@ def _neighbours() -> frozenset[str]:
 NEAR = _neighbours()
 
 
+class Words(dict):
+    """log10 of each word's rank; ``longest`` is the length of the longest word."""
+
+    longest = 0
+
+
 @kept
-def dictionary(path: str | None) -> dict[str, float]:
-    """log10 of each word's rank in a public vocabulary of lower-case words (entries that end a word)."""
-    if path is None:
-        return {}
-    with open(path, encoding="utf-8") as f:
-        ids = json.load(f)["model"]["vocab"]
-    words = sorted((i, w[:-4]) for w, i in ids.items() if w.endswith("</w>") and len(w) >= 7 and w[:-4].isalpha())
-    return {w: math.log10(rank + 1) for rank, (_, w) in enumerate(words, 1)}
+def dictionary(path: str | None) -> Words:
+    """The ranks in a public vocabulary of lower-case words (entries that end a word)."""
+    found = Words()
+    if path is not None:
+        with open(path, encoding="utf-8") as f:
+            ids = json.load(f)["model"]["vocab"]
+        words = sorted((i, w[:-4]) for w, i in ids.items() if w.endswith("</w>") and len(w) >= 7 and w[:-4].isalpha())
+        found.update((w, math.log10(rank + 1)) for rank, (_, w) in enumerate(words, 1))
+        found.longest = max(map(len, found), default=0)
+    return found
 
 
 def _brute(part: str) -> float:
@@ -78,42 +88,77 @@ def _brute(part: str) -> float:
     return len(part) * math.log10(max(size, 1))
 
 
-def guess_cost(value: str, words: dict[str, float]) -> float:
-    """log10 of the guesses of the cheapest segmentation, in time linear in the value."""
-    n = len(value)
-    low = value.lower()
+#: log10 of what a repeat costs for each character of its unit, and a walk at first and for each step.
+PER_UNIT, WALK, STEP = math.log10(36), math.log10(47), math.log10(4)
+UNITS, DATES = (1, 2, 3, 4), range(4, 11)
+
+
+class _Repeats:
+    """The cheapest repeat of units of one length that ends at a place.
+
+    A repeat may start at any place of the stretch with this period.  Of two starts of one class
+    (places a whole number of units apart) the later one is of no use once the earlier one is as
+    cheap for the shortest repeat from the later; what is left are a few starts for each class.
+    The last start of a class stays, as the stretch may break and begin anew with it."""
+
+    def __init__(self, unit: int):
+        self.unit, self.start = unit, 0
+        self.open: list[list[tuple[int, float]]] = [[] for _ in range(unit)]
+
+    def useless(self, later: tuple[int, float], starts: list[tuple[int, float]]) -> bool:
+        return any(later[1] - cost >= math.log10(((later[0] - at) // self.unit + 2) / 2) for at, cost in starts)
+
+    def add(self, at: int, cost: float) -> None:
+        own = self.open[at % self.unit]
+        if len(own) > 1 and self.useless(own[-1], own[:-1]):
+            own.pop()
+        own.append((at, cost))
+
+    def end(self, j: int, low: str) -> float:
+        """The least cost at j, after the character before it."""
+        unit = self.unit
+        if j > unit and low[j - 1] != low[j - 1 - unit]:
+            self.start = j - unit
+            self.open = [[x for x in own if x[0] >= self.start] for own in self.open]
+        found = math.inf
+        for at, cost in self.open[j % unit]:
+            times = (j - at) // unit
+            if times >= 2 and times * unit >= 3:
+                found = min(found, cost + unit * PER_UNIT + math.log10(times))
+        return found
+
+
+def guess_cost(value: str, words: Words) -> float:
+    """log10 of the guesses of the cheapest segmentation: a minimum over every split into words,
+    dates, repeats, keyboard walks and brute-force characters, however long the value is."""
+    n, low = len(value), value.lower()
     per = _brute(value) / n if n else 0.0
     best = [0.0] + [math.inf] * n
-    same = [0] * 5  # by unit: the first place from here on that differs from the one a unit later
-    walk = 0  # where the next keyboard walk may start
-    for i in range(n):
-        at = best[i]
-        spans = [(i + 1, per)]  # one more character of a brute-force span
-        for j in range(i + 1, min(n, i + 20) + 1):
-            if not low[j - 1].isalpha():
-                break
-            if j >= i + 3 and (rank := words.get(low[i:j])) is not None:
-                capitals = sum(c.isupper() for c in value[i:j])
-                spans.append((j, rank + (math.log10(2) * min(capitals, j - i - capitals) + math.log10(2) if capitals else 0)))
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            spans.append((m.end(), math.log10(365 * 120) if len(m[0]) > 4 else math.log10(120)))
-        for unit in (1, 2, 3, 4):  # repeats of one unit
-            k = max(same[unit], i)
-            while k + unit < n and low[k] == low[k + unit]:
-                k += 1
-            same[unit] = k
-            times = (k - i) // unit + 1
-            if times >= 2 and times * unit >= 3:
-                spans.append((i + times * unit, unit * math.log10(36) + math.log10(times)))
-        if i == walk:
-            j = i + 1
-            while j < n and low[j - 1 : j + 1] in NEAR:
-                j += 1
-            if j - i >= 3:
-                spans.append((j, math.log10(47) + (j - i - 1) * math.log10(4)))
-            walk = max(i + 1, j - 1) if j - i >= 3 else i + 1
-        for j, cost in spans:
-            best[j] = min(best[j], at + cost)
+    repeats = [_Repeats(unit) for unit in UNITS]
+    walk, least = 0, math.inf  # where the walk began; least cost of a start, steps before it taken off
+    letters = 0  # length of the run of letters before j
+    for r in repeats:
+        r.add(0, 0.0)
+    for j in range(1, n + 1):
+        cost = best[j - 1] + per
+        letters = letters + 1 if low[j - 1].isalpha() else 0
+        for k in range(3, min(letters, words.longest) + 1):
+            if (rank := words.get(low[j - k : j])) is not None:
+                capitals = sum(map(str.isupper, value[j - k : j]))
+                cost = min(cost, best[j - k] + rank + (math.log10(2) * (min(capitals, k - capitals) + 1) if capitals else 0))
+        if value[j - 1].isdigit():
+            for k in DATES:
+                if k <= j and DATE.fullmatch(value, j - k, j):
+                    cost = min(cost, best[j - k] + (math.log10(365 * 120) if k > 4 else math.log10(120)))
+        for r in repeats:
+            cost = min(cost, r.end(j, low))
+        if j > 1 and low[j - 2 : j] not in NEAR:
+            walk, least = j - 1, math.inf
+        if j - 3 >= walk:
+            least = min(least, best[j - 3] - (j - 3) * STEP)
+        best[j] = min(cost, least + WALK + (j - 1) * STEP)
+        for r in repeats:
+            r.add(j, best[j])
     return best[n]
 
 
@@ -130,7 +175,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], words: dict[str, float]) -> list[tuple[int, int, int]]:
+def added_spans(text: str, base: list[tuple[int, int, int]], words: Words) -> list[tuple[int, int, int]]:
     """Values in credential contexts that no base span covers and that are costly to guess."""
     out = []
     for m in CONTEXT.finditer(text) if hinted(text) else ():
@@ -149,7 +194,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan_documents(documents: DataFrame, word_list: str | None) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans, and log10_guesses of the added values."""
+    """doc_id, counts of the base kinds (n_assign, n_access, n_hex), base_sha256 and spans."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +221,7 @@ def redact(documents: DataFrame, word_list: str | None, mark: str = "[SECRET]")
     at = schema.fieldNames().index("text")
     chars = schema.fieldNames().index("n_chars") if "n_chars" in schema.fieldNames() else -1
 
-    def clean(text: str | None, words: dict[str, float]) -> str | None:
+    def clean(text: str | None, words: Words) -> str | None:
         if not text or not (spans := base_spans(text)) + (more := added_spans(text, spans, words)):
             return text
         out, done = [], 0
