@@ -9,7 +9,9 @@ rounds of forward and backward passes) of a bounded sample of labelled documents
 ``FIT_DOCS`` of each language, chosen by a hash of the doc_id.
 
 A text that is null or has no letter is ``und`` with score 0.  If nothing can be learned (an
-empty table, no labels), every text is ``und``.  Repeated rows give repeated results.
+empty table, no labels), every text is ``und``.  Repeated rows give repeated results.  Texts,
+words and pieces of any length count whole; of languages with equal scores the first in
+alphabetical order is taken.  Columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -26,14 +28,12 @@ from pyspark.sql import DataFrame
 
 from weft.llm.bpe import parcels
 from weft.llm.common import _RELEASES, U64, Rolling, begin, kept, mix
-from weft.llm.runs import Memo, code_points, hashes
+from weft.llm.runs import LONGEST, Memo, code_points, hashes
 
 #: Documents of each language, in expectation, from which probabilities are learned.
 FIT_DOCS = 300
 ROUNDS = 3
 SMOOTH = 0.05
-#: Bytes of the longest piece in use.
-LONGEST_PIECE = 16
 #: Entries of a worker's memo of scored words.
 MEMO = 1_500_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -56,9 +56,9 @@ class Pieces:
         texts = {bytes([b]) for b in range(256)}
         for i in range(sp.get_piece_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
-                piece = sp.id_to_piece(i).lower().encode()
-                if len(piece) <= LONGEST_PIECE:
-                    texts.add(piece)
+                piece = sp.id_to_piece(i).lower()
+                if WORD.fullmatch(piece.removeprefix(MARK)) or piece == MARK:  # others never lie in a word
+                    texts.add(piece.encode())
         self.texts = sorted(texts)
         self.size = len(self.texts)
         self.longest = max(map(len, self.texts))
@@ -142,6 +142,20 @@ def expected(grid: np.ndarray, sizes: np.ndarray, weights: np.ndarray, logs: np.
                 out += np.bincount(number[has], (a[:, j] * b[:, j + k] * p[number] * 20.0**k * scale)[has], len(out))
 
 
+def expected_long(grid: np.ndarray, weight: float, logs: np.ndarray, out: np.ndarray) -> None:
+    """The same for one long word, by sums of logarithms."""
+    _, width, most = grid.shape
+    a, b = np.full(width + 1, -np.inf), np.full(width + 1, -np.inf)
+    a[0] = b[width] = 0
+    steps = [(j, k, number) for j in range(width) for k in range(1, min(width - j, most) + 1) if (number := grid[0, j, k - 1]) >= 0]
+    for j, k, number in steps:
+        a[j + k] = np.logaddexp(a[j + k], a[j] + logs[number])
+    for j, k, number in reversed(steps):
+        b[j] = np.logaddexp(b[j], b[j + k] + logs[number])
+    for j, k, number in steps:
+        out[number] += weight * np.exp(a[j] + logs[number] + b[j + k] - a[width])
+
+
 def spelled(word: str) -> bytes:
     return (MARK + word).encode()
 
@@ -161,7 +175,9 @@ def train(pieces: Pieces, counts: dict[str, Counter]) -> tuple[list[str], np.nda
     """Languages and log piece probabilities (piece by language)."""
     langs, columns = sorted(counts), []
     for lang in langs:
-        pairs = [(spelled(w), n) for w, n in counts[lang].items() if len(spelled(w)) <= SHORT]
+        pairs = [(spelled(w), n) for w, n in counts[lang].items()]
+        long = [(pieces.lattice([w]), n) for w, n in pairs if len(w) > SHORT]
+        pairs = [(w, n) for w, n in pairs if len(w) <= SHORT]
         words, weights = [w for w, _ in pairs], np.array([n for _, n in pairs], float)
         grids = [(np.array(some), pieces.lattice(own), np.array(list(map(len, own)))) for some, own in blocks(words)]
         # at first, a piece is the likelier the longer it is
@@ -171,6 +187,8 @@ def train(pieces: Pieces, counts: dict[str, Counter]) -> tuple[list[str], np.nda
             found = np.full(pieces.size, SMOOTH)
             for some, grid, sizes in grids:
                 expected(grid, sizes, weights[some], logs, found)
+            for grid, n in long:
+                expected_long(grid, n, logs, found)
             logs = np.log(found / found.sum())
         columns.append(logs)
     return langs, np.stack(columns, axis=1) if columns else np.zeros((pieces.size, 0))
@@ -226,14 +244,18 @@ class Scorer:
             if len(self.rows) > MEMO:
                 self.memo.clear()
                 self.rows, missing = self.rows[:0], np.arange(len(a))
+            long = ends[missing] - starts[missing] > LONGEST
             _, one, back = np.unique(a[missing] + U64(3) * b[missing], return_index=True, return_inverse=True)
-            one = missing[one]
+            one = np.concatenate([missing[one], missing[long]])
             data = x.tobytes()
             words = [data[4 * s : 4 * e].decode("utf-32-le", "surrogatepass") for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
             own = np.arange(len(self.rows), len(self.rows) + len(one))
             self.rows = np.vstack([self.rows, self.learn(words)])
-            self.memo.put(a[one], b[one], own)
-            number[missing] = own[back]
+            n = len(one) - int(long.sum())
+            short = ends[one[:n]] - starts[one[:n]] <= LONGEST  # a long word is scored each time
+            self.memo.put(a[one[:n]][short], b[one[:n]][short], own[:n][short])
+            number[missing] = own[:n][back]
+            number[missing[long]] = own[n:]
         total = np.vstack([np.zeros((1, len(self.langs))), np.cumsum(self.rows[number], axis=0)])
         edge = np.searchsorted(starts, bounds)
         total = total[edge[1:]] - total[edge[:-1]]
