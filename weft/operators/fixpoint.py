@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from weft.sources.scratch import Tables
@@ -12,29 +13,52 @@ from weft.sources.scratch import Tables
 MERGE = 12
 
 
-def least_fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], stop: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 1000) -> DataFrame:
+def least_fixpoint(
+    seed: DataFrame,
+    step: Callable[[DataFrame, DataFrame], DataFrame],
+    stop: Callable[[DataFrame], DataFrame] | None = None,
+    rounds: int = 1000,
+    keys: Sequence[str] | None = None,
+    report: Callable[[int, int], None] | None = None,
+) -> DataFrame:
     """All rows derivable from ``seed`` by ``step(new, all)``, as a set.
 
     ``step`` gives rows with the columns of ``seed`` that use at least one new row.  Every round
     is written to the shared folder, so plans stay short and no executor's loss repeats earlier
-    rounds.  With ``stop`` the loop ends early once that filter of the new rows has a row.
+    rounds.  With ``stop`` the loop ends early once that filter of the new rows has a row.  With
+    ``keys`` rows that agree in these are one: the least of the round that found it first stays.
+    ``report`` is called with each round's number and new rows, and may raise to end the loop.
+    Null never equals null in the comparison with earlier rows, so columns must not be null.
     """
-    spark, keys = seed.sparkSession, seed.columns
+    spark, columns = seed.sparkSession, seed.columns
+    keys = list(keys or columns)
+    rest = [c for c in columns if c not in keys]
     tables = Tables(spark)
     schema = seed.schema
-    paths = [tables.write(seed.distinct())]
-    new = known = tables.read(schema, *paths)
-    for _ in range(rounds):
-        if stop is not None and not stop(new).isEmpty():
+
+    def once(rows: DataFrame) -> DataFrame:
+        if not rest:
+            return rows.distinct()
+        return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_least")).select(*(F.col(c) if c in keys else F.col(f"_least.{c}").alias(c) for c in columns))
+
+    path, count = tables.counted(once(seed))
+    paths = [path]
+    new = known = tables.read(schema, path)
+    for turn in range(rounds):
+        if report is not None:
+            report(turn, count)
+        if not count or (stop is not None and not stop(new).isEmpty()):
             return known
-        found = step(new, known).select(*keys).distinct().join(known, keys, "left_anti")
-        path = tables.write(found)
+        found = once(step(new, known).select(*columns)).join(known.select(*keys), keys, "left_anti").select(*columns)
+        path, count = tables.counted(found)
         new = tables.read(schema, path)
-        if new.isEmpty():
+        if not count:
             return known
         paths.append(path)
         known = tables.read(schema, *paths)
         if len(paths) > MERGE:
-            paths = [tables.write(known)]
+            merged = tables.write(known)
+            tables.drop(*paths[:-1])  # the last one is still read as new
+            paths = [merged]
             known = tables.read(schema, *paths)
     raise RuntimeError(f"no fixpoint after {rounds} rounds")

@@ -7,23 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from weft.operators import conflict, graph, locks, status
 from weft.plans import networks
+from weft.plans.registry import ORACLES, QUERIES, query
 from weft.sources import rules as source
 from weft.sources.rules import DERIVED_SQL, EDGES_SQL
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "two_set_conflict"
 
 
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _start(spark: SparkSession, name: str = "x") -> DataFrame:
     return spark.range(1).select(F.lit(source.INITIAL).cast("bigint").alias(name))
 
@@ -300,3 +290,8 @@ def genkill_reaching(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.operators.fixpoint import least_fixpoint
 
     return least_fixpoint(gen, step)
+
+
+from weft.plans import programs, structures  # noqa: E402, F401  (registers its queries)
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

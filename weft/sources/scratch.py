@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyspark.sql.functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -13,21 +14,38 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:  # as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="weft-"))
     return base.rstrip("/")
 
 
 class Tables:
-    """Tables written one after the other; reading them needs no earlier lineage."""
+    """Tables written one after the other; reading them needs no earlier lineage.  They go when the
+    session's file systems are closed, as lazy results still read them."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}", 0
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
 
     def write(self, df: DataFrame) -> str:
+        return self.counted(df)[0]
+
+    def counted(self, df: DataFrame) -> tuple[str, int]:
+        """Writes a table and tells its rows, counted on the way."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
-        return path
+        rows = Observation()
+        df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return path, rows.get["n"]
+
+    def drop(self, *paths: str) -> None:
+        for path in paths:
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def read(self, schema, *paths: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
