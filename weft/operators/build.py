@@ -206,13 +206,42 @@ def unique_sites(p: Program, once: DataFrame, cycles: DataFrame) -> DataFrame:
     return p.instr.where("kind = 'new'").select(*AT).join(once, "node", "left_semi").join(cycles, ["node", "bb"], "left_anti")
 
 
+def lock_sites(p: Program) -> DataFrame:
+    """node, obj: where which objects are locked, by a monitor or by a call of a synchronised method."""
+    monitors = p.instr.where("kind = 'menter'").select("node", F.col("ref").alias("var")).join(p.points_to, ["node", "var"]).select("node", "obj")
+    callee = p.nodes.where("is_sync").select(F.col("node").alias("target"), "class", "is_static")
+    calls = p.call_targets.select("node", "target").distinct().join(callee, "target")
+    of_class = calls.where("is_static").join(p.class_obj, "class").select("node", "obj")
+    of_object = calls.where("not is_static").join(receivers(p), "target").select("node", "obj")
+    return monitors.unionByName(of_class).unionByName(of_object).distinct()
+
+
 def safe_locks(p: Program, unique: DataFrame) -> DataFrame:
-    """node, obj: locks that a node may be modelled with (B9, C12): unique objects or classes, in nodes
-    of the application, not waited on from there."""
+    """node, obj: locks that a node's sites may be modelled with (B9, C12): unique objects or classes, in
+    nodes of the application, not waited on from there."""
     known = unique.select("obj").unionByName(p.class_obj.select("obj")).distinct()
-    usable = locks_used(p).select("node", "obj").distinct().join(known, "obj", "left_semi")
     app = p.nodes.where("loader = 'Application'").select("node")
-    return usable.join(app, "node", "left_semi").join(p.waits, ["node", "obj"], "left_anti").select("node", "obj")
+    return lock_sites(p).join(known, "obj", "left_semi").join(app, "node", "left_semi").join(p.waits, ["node", "obj"], "left_anti").select("node", "obj")
+
+
+def flow_edges(rules: DataFrame) -> DataFrame:
+    """edge, kind, src, snk, proc, ret: the parallel flow graph of a network (B12).  Nodes are control
+    state and symbol; ``proc`` is where the called or started procedure begins; a call has a row
+    for each control state that a pop can leave it in (``ret``), as it may return normally or not."""
+    at = lambda g, s: F.concat_ws(":", F.col(g).cast("string"), F.col(s).cast("string"))
+    after = rules.where("kind = 'pop'").select(F.col("g1").alias("ret")).distinct()
+    none = F.lit(None).cast("string")
+    base = rules.where("kind = 'base'").select(F.lit("base").alias("kind"), at("g", "s").alias("src"), at("g1", "s1").alias("snk"), none.alias("proc"), none.alias("ret"))
+    calls = rules.where("kind = 'push'").join(F.broadcast(after))  # as many rows as control states
+    calls = calls.select(F.lit("call").alias("kind"), at("g", "s").alias("src"), at("ret", "s2").alias("snk"), at("g1", "s1").alias("proc"), F.col("ret").cast("string").alias("ret"))
+    spawn = rules.where("kind = 'spawn'").select(F.lit("spawn").alias("kind"), at("g", "s").alias("src"), at("g1", "s1").alias("snk"), at("g2", "s2").alias("proc"), none.alias("ret"))
+    found = base.unionByName(calls).unionByName(spawn).distinct()
+    return found.select(F.concat_ws(" ", "kind", "src", "snk", "proc", "ret").alias("edge"), "kind", "src", "snk", "proc", "ret")
+
+
+def graph_lines(edges: DataFrame) -> DataFrame:
+    """line: a call graph (src, dst, n_sites) in the notation of a graph drawer (K8)."""
+    return edges.select(F.format_string('  "%s" -> "%s" [label="%s"];', F.col("src").cast("string"), F.col("dst").cast("string"), F.col("n_sites").cast("string")).alias("line"))
 
 
 def call_edges(p: Program) -> DataFrame:

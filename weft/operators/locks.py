@@ -47,6 +47,77 @@ def acyclic(graph: Column, n: int = MOST) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n)), every, fewer) == 0
 
 
+class Bits:
+    """Sets of up to ``MOST`` locks as bits of a number, order graphs as a bit matrix."""
+
+    limit = MOST
+    arrays = False
+
+    def empty(self) -> Column:
+        return F.lit(0).cast("bigint")
+
+    no_order = empty
+
+    def add(self, held: Column, lock: Column) -> Column:
+        return with_lock(held, lock)
+
+    def has(self, held: Column, lock: Column) -> Column:
+        return has(held, lock)
+
+    def union(self, a: Column, b: Column) -> Column:
+        return a.bitwiseOR(b)
+
+    both_orders = union
+
+    def disjoint(self, a: Column, b: Column) -> Column:
+        return disjoint(a, b)
+
+    def after(self, order: Column, lock: Column, used: Column) -> Column:
+        return after(order, lock, used)
+
+    def acyclic(self, order: Column) -> Column:
+        return acyclic(order)
+
+
+class Lists:
+    """Sets of any number of locks as sorted arrays, order graphs as sorted arrays of edges (C4)."""
+
+    limit = None
+    arrays = True
+
+    def empty(self) -> Column:
+        return F.array().cast("array<bigint>")
+
+    def no_order(self) -> Column:
+        return F.array().cast("array<struct<x:bigint,y:bigint>>")
+
+    def add(self, held: Column, lock: Column) -> Column:
+        return F.array_sort(F.array_union(held, F.array(lock.cast("bigint"))))
+
+    def has(self, held: Column, lock: Column) -> Column:
+        return F.array_contains(held, lock.cast("bigint"))
+
+    def union(self, a: Column, b: Column) -> Column:
+        return F.array_sort(F.array_union(a, b))
+
+    both_orders = union
+
+    def disjoint(self, a: Column, b: Column) -> Column:
+        return ~F.arrays_overlap(a, b)
+
+    def after(self, order: Column, lock: Column, used: Column) -> Column:
+        edges = F.transform(used, lambda y: F.struct(lock.cast("bigint").alias("x"), y.alias("y")))
+        return self.union(order, edges)
+
+    def acyclic(self, order: Column) -> Column:
+        """Edges into locks without a way out are taken away as often as there are edges."""
+        on = lambda left, _: F.filter(left, lambda e: F.exists(left, lambda f: f["x"] == e["y"]))
+        return F.size(F.aggregate(F.sequence(F.lit(0), F.size(order)), order, on)) == 0
+
+
+BITS, LISTS = Bits(), Lists()
+
+
 def demanded(rules: DataFrame, seed: DataFrame) -> DataFrame:
     """(s, held): with which locks held a symbol can come to the top, callees taken to return."""
     base = rules.where("kind = 'base'").select("s", "s1")

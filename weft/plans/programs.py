@@ -27,9 +27,11 @@ _PARTS = f"""{SQL},
     used AS (SELECT node, obj, 'class' AS origin FROM nodes JOIN class_obj USING (class) WHERE is_sync AND is_static
         UNION SELECT node, obj, 'object' FROM nodes JOIN recv ON node = target WHERE is_sync AND NOT is_static
         UNION SELECT i.node, p.obj, 'monitor' FROM instr i JOIN points_to p ON p.node = i.node AND p.var = i.ref WHERE kind = 'menter'),
-    safe AS (SELECT DISTINCT node, obj FROM used WHERE (obj < 4 OR obj >= 100) AND node IN (SELECT node FROM nodes WHERE loader = 'Application')
-        AND NOT EXISTS (SELECT 1 FROM waits w WHERE w.node = used.node AND w.obj = used.obj)),
-    calls AS (SELECT s.*, target FROM sym s JOIN call_targets c USING (node, bb, idx))"""
+    calls AS (SELECT s.*, target FROM sym s JOIN call_targets c USING (node, bb, idx)),
+    sites AS (SELECT node, obj FROM used WHERE origin = 'monitor' UNION SELECT c.node, obj FROM calls c JOIN nodes n ON n.node = c.target JOIN class_obj o ON o.class = n.class WHERE is_sync AND is_static
+        UNION SELECT c.node, r.obj FROM calls c JOIN nodes n ON n.node = c.target JOIN recv r ON r.target = c.target WHERE is_sync AND NOT is_static),
+    safe AS (SELECT DISTINCT node, obj FROM sites WHERE (obj < 4 OR obj >= 100) AND node IN (SELECT node FROM nodes WHERE loader = 'Application')
+        AND NOT EXISTS (SELECT 1 FROM waits w WHERE w.node = sites.node AND w.obj = sites.obj))"""
 _NONE = "NULL::INTEGER AS g2, NULL::VARCHAR AS s2, NULL::BIGINT AS lock"
 
 
@@ -223,3 +225,28 @@ def exception_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rules_without_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.without_actions(build.plain_rules(program.derived(spark, sf_dir)))
+
+
+@query(
+    """SELECT concat_ws(' ', kind, src, snk, proc, ret) AS edge, * FROM (
+        SELECT DISTINCT 'base' AS kind, concat('0:', node, '.', idx) AS src, concat('0:', node, '.', idx + 1) AS snk, NULL::VARCHAR AS proc, NULL::VARCHAR AS ret FROM i WHERE kind <> 'invoke'
+        UNION SELECT 'call', concat('0:', node, '.', idx), concat(r, ':', node, '.', idx + 1), concat('0:', ref, '.0'), r FROM i, (VALUES ('0'), ('1')) v(r) WHERE kind = 'invoke')""".join(
+        [f"WITH {SQL}, i AS (SELECT * FROM instr) ", ""]
+    )
+)
+def flow_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instructions as rules of one control state, calls of the procedure named by their variable,
+    which return in state 0 or 1."""
+    p = program.derived(spark, sf_dir)
+    here, after = F.concat_ws(".", "node", "idx"), F.concat_ws(".", F.col("node"), F.col("idx") + 1)
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    kind = F.when(F.col("kind") == "invoke", "push").otherwise("base")
+    callee = F.when(F.col("kind") == "invoke", F.concat(F.col("ref").cast("string"), F.lit(".0"))).otherwise(after)
+    rules = p.instr.select(kind.alias("kind"), zero.alias("g"), here.alias("s"), zero.alias("g1"), callee.alias("s1"), zero.alias("g2"), F.when(F.col("kind") == "invoke", after).alias("s2"))
+    pops = spark.range(2).select(F.lit("pop").alias("kind"), zero.alias("g"), F.lit("end").alias("s"), F.col("id").cast("int").alias("g1"), none.alias("s1"), zero.alias("g2"), none.alias("s2"))
+    return build.flow_edges(rules.unionByName(pops))
+
+
+@query(f"WITH {SQL} SELECT concat('  \"', node, '\" -> \"', target, '\" [label=\"', count(*), '\"];') AS line FROM call_targets GROUP BY node, target")
+def call_graph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.graph_lines(build.call_edges(program.derived(spark, sf_dir)))
