@@ -1,6 +1,7 @@
 """The corpus operators against brute force on a small table with hard cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -311,6 +312,98 @@ def test_long_values_are_costed_like_short_ones():
     assert secretscan.guess_cost("x9$Kq!72zPfd" + "-" * 300, words) >= secretscan.MIN_LOG10
 
 
+def _least_cost(value, words):
+    """The minimum over all splits, by definition."""
+    low, per = value.lower(), secretscan._brute(value) / max(1, len(value))
+    best = [0.0] + [math.inf] * len(value)
+    for j in range(1, len(value) + 1):
+        for i in range(j):
+            part, n = low[i:j], j - i
+            costs = [n * per]
+            if part in words:
+                capitals = sum(c.isupper() for c in value[i:j])
+                costs.append(words[part] + (math.log10(2) * (min(capitals, n - capitals) + 1) if capitals else 0))
+            if 4 <= n <= 10 and secretscan.DATE.fullmatch(part):
+                costs.append(math.log10(365 * 120 if n > 4 else 120))
+            costs += [u * math.log10(36) + math.log10(n // u) for u in (1, 2, 3, 4) if n >= 3 and n // u >= 2 and part == part[:u] * (n // u)]
+            if n >= 3 and all(part[k : k + 2] in secretscan.NEAR for k in range(n - 1)):
+                costs.append(math.log10(47) + (n - 1) * math.log10(4))
+            best[j] = min(best[j], best[i] + min(costs))
+    return best[-1]
+
+
+def test_guess_cost_is_the_minimum():
+    words, rnd = secretscan.dictionary(vocabulary("word_bpe_49k.json")), random.Random(1)
+    parts = ["apple", "the", "qwerty", "1234", "2024-01-02", "20200101", "aaaa", "abab", "xyzxyz", "zzzzzzz", "Pass", "asdf", "12121212", "2020", "--", "!", "Q7"]
+    for value in ["aaaapple", "apple" * 6, *("".join(rnd.choice(parts) if rnd.random() < 0.6 else rnd.choice("ab1qwA-") for _ in range(rnd.randint(1, 8))) for _ in range(400))]:
+        assert math.isclose(secretscan.guess_cost(value, words), _least_cost(value, words), abs_tol=1e-9)
+
+
+def test_base_spans_are_those_of_the_patterns(spark, empty):
+    """Against a matcher written out by hand."""
+    names = ("password", "passwd", "secret", "token", "apikey", "api_key")
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def assigns(t):
+        out, i = [], 0
+        while i < len(t):
+            for name in names:
+                if t[i : i + len(name)].lower() == name:
+                    found = []
+                    for quote in (1, 0):  # an optional part is taken if what follows then fits
+                        k = i + len(name)
+                        if quote and t[k : k + 1] not in ("'", '"'):
+                            continue
+                        k += quote
+                        while t[k : k + 1] == " ":
+                            k += 1
+                        if t[k : k + 1] not in (":", "="):
+                            continue
+                        k += 1
+                        while t[k : k + 1] == " ":
+                            k += 1
+                        k += t[k : k + 1] in ("'", '"') and t[k : k + 1] != ""
+                        e = k
+                        while e < len(t) and t[e] in value:
+                            e += 1
+                        if e > k:
+                            found.append((k, e))
+                    if found:
+                        k, e = found[0]
+                        out += [(i, e)] if e - k >= 12 else []
+                        i = e - 1
+                        break
+            i += 1
+        return out
+
+    def runs(t, start, chars, least):
+        out, i = [], 0
+        while i < len(t):
+            if t.startswith(start, i):
+                e = i + len(start)
+                while e < len(t) and t[e] in chars:
+                    e += 1
+                if e > i and e - i >= least:
+                    out.append((i, e))
+                i = max(e, i + 1)
+            else:
+                i += 1
+        return out
+
+    rnd = random.Random(4)
+    parts = ["password", "Secret", "api_key", "apikey", "TOKEN", "=", ":", " ", "'", '"', "AKIA", "AKIAABCDEFGHIJKLMN", "0123456789abcdef", "deadbeef", "xY9-", "longvalue1234567", "é", "\n", "password=", "token: '"]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))) for i in range(400)] + [(400, None), (401, "")]
+    upper, lower = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+    for r in secretscan.scan_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), None).collect():
+        t = rows[r.doc_id][1] or ""
+        kinds = [assigns(t), runs(t, "AKIA", upper, 18), runs(t, "", lower, 16)]
+        spans = sorted((s, k, e) for k, own in enumerate(kinds) for s, e in own)
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in spans)
+        assert [r.n_assign, r.n_access, r.n_hex] == list(map(len, kinds)), t
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and set(text.split(",")) - {""} <= set(r.spans.split(","))
+    assert secretscan.scan_documents(empty, None).count() == 0
+
+
 def test_guess_cost():
     words = secretscan.dictionary(vocabulary("word_bpe_49k.json"))
     assert secretscan.guess_cost("aaaaaaaaaa", words) < secretscan.guess_cost("20240101", words) < secretscan.guess_cost("x9$Kq!72zPfd", words)
@@ -333,6 +426,79 @@ def test_language(docs, empty):
         assert np.isclose(langid.Scorer(p, ["a", "b"], logs).learn([word])[0][0], np.log(a[-1]))
 
 
+def test_language_against_all_segmentations(spark):
+    """Training and predictions, with words of any length, against plain recursion in logarithms."""
+    path = vocabulary("piece_bpe_32k.model")
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("der Hund läuft", "de"), ("the dog runs", "en"), ("x" * 60 + " the", "en"), ("die Katze", "de"), ("the cat", "en"), ("le chat dort", "fr"), ("un chien", "fr")] * 2)]
+    rows += [(100, None, "en"), (101, "123 --", None), (102, "x" * 70, None), (103, "the Hund chat", None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(2)
+    p = langid.pieces_of(path)
+    number = {x: i for i, x in enumerate(p.texts)}
+
+    def steps(b):
+        return [(i, j, number[b[i:j]]) for i in range(len(b)) for j in range(i + 1, len(b) + 1) if b[i:j] in number]
+
+    def sums(b, logs):
+        a, z = [0.0] + [-np.inf] * len(b), [-np.inf] * len(b) + [0.0]
+        for i, j, k in steps(b):
+            a[j] = np.logaddexp(a[j], a[i] + logs[k])
+        for i, j, k in reversed(steps(b)):
+            z[i] = np.logaddexp(z[i], z[j] + logs[k])
+        return a, z
+
+    model = {}
+    for lang in ("de", "en", "fr"):
+        words = [langid.spelled(w) for i, t, x in rows if x == lang and t and zlib.crc32(str(i).encode()) % 5 for w in langid.words_in(t)]
+        logs = np.array([-2.0 - 6.0 / len(t) for t in p.texts])
+        logs -= math.log(np.exp(logs).sum())
+        for _ in range(langid.ROUNDS):
+            found = np.full(p.size, langid.SMOOTH)
+            for b in words:
+                a, z = sums(b, logs)
+                for i, j, k in steps(b):
+                    found[k] += np.exp(a[i] + logs[k] + z[j] - a[-1])
+            logs = np.log(found / found.sum())
+        model[lang] = logs
+    for r in langid.identify(frame, path, docs=10**6).collect():
+        words = [langid.spelled(w) for w in langid.words_in(dict((i, t) for i, t, _ in rows)[r.doc_id] or "")]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = {lang: sum(sums(b, logs)[0][-1] for b in words) for lang, logs in model.items()}
+        best = max(total, key=total.get)
+        assert r.lang_pred == best and np.isclose(r.score, 1 / sum(np.exp(x - total[best]) for x in total.values()), atol=1e-6)
+
+
+def test_quality_against_plain_densities(spark, empty):
+    """Scores from the definition; nulls, empty texts, repeated rows, odd labels, an extra column."""
+    rnd = random.Random(3)
+    texts = [None, "", "|||", "a" * 200_000] + [" ".join(rnd.choice(WORDS).upper() if i % 2 else rnd.choice(WORDS) + "." for _ in range(rnd.randint(1, 60))) for i in range(120)]
+    rows = [(i, t, 9) for i, t in enumerate(texts)] + [(7, texts[7], 9)]
+    marks = [(i, i % 2, 0) for i in range(100)] + [(5, None, 0), (6, 7, 0), (9, 0, 1), (5000, 1, 0), (None, 1, 0)]
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    got = quality.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string, y int").repartition(3), labels).collect()
+    x = {i: np.array(quality.statistics(t or "")) for i, t, _ in rows}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    own = {c: np.array([x[i] for i, *_ in rows if i < 100 and i % 2 == c and not held(i)]) for c in (0, 1)}
+    n = {c: len(v) for c, v in own.items()}
+    cov = {c: np.cov(v.T, bias=True) for c, v in own.items()}
+    pooled = sum(cov[c] * n[c] for c in (0, 1)) / sum(n.values())
+    target = np.diag(np.diag(pooled)) + quality.RIDGE * np.eye(quality.FEATURES)
+
+    def density(v, c):
+        m = (1 - quality.SHRINK) * cov[c] + quality.SHRINK * target
+        d = v - own[c].mean(axis=0)
+        return math.log(n[c] / sum(n.values())) - 0.5 * (d @ np.linalg.solve(m, d) + np.linalg.slogdet(m)[1])
+
+    assert len(got) == len(rows)
+    for r in got:
+        score = 1 / (1 + math.exp(min(700, density(x[r.doc_id], 0) - density(x[r.doc_id], 1))))
+        assert np.isclose(r.score, score, atol=1e-6) and r.held_out == held(r.doc_id) and r.predicted == int(r.score >= 0.3)
+    assert quality.score_documents(empty, labels).count() == 0
+    assert {r.score for r in quality.score_documents(spark.createDataFrame(rows[:3], "doc_id bigint, text string, y int"), labels.where("false")).collect()} == {0.5}
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")

@@ -52,8 +52,8 @@ def bucket_names(n: int) -> np.ndarray:
 
 
 class Block:
-    def __init__(self, ids: list, texts: list[bytes], told: dict[tuple[str, int], bytes]):
-        self.ids, self.texts, self.told = ids, texts, told
+    def __init__(self, ids: pa.Array, texts: list[bytes], told: dict[tuple[str, int], bytes], number: int = 0):
+        self.ids, self.texts, self.told, self.number = ids, texts, told, number
 
 
 class Blocks:
@@ -140,9 +140,7 @@ class Blocks:
                     data = batch.column("data")[i].as_py()
                     texts = [data[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                     told = {(x["round"], x["shard"]): x["reply"] for x in batch.column("told")[i].as_py() or ()}
-                    block = Block(batch.column("ids")[i].as_py(), texts, told)
-                    block.number = batch.column("b")[i].as_py()
-                    yield from work(block)
+                    yield from work(Block(batch.column("ids")[i].values, texts, told, batch.column("b")[i].as_py()))
 
         return rows.mapInArrow(run, fields)
 

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -108,8 +109,23 @@ class Scratch:
         self.tables, self.paths = [], []
 
 
-def records(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+class Rows:
+    """A table with a number for each row, written once so that a task that runs again sees the same
+    numbers; its columns have names of their own, whatever the table calls them."""
+
+    def __init__(self, documents: DataFrame, scratch: Scratch):
+        self.names = documents.columns
+        numbered = documents.toDF(*(f"c{i}" for i in range(len(self.names)))).withColumn("row", F.monotonically_increasing_id())
+        self.scratch, self.table = scratch, scratch.write(numbered, "rows", keep=True)
+
+    def column(self, name: str):
+        return F.col(f"c{self.names.index(name)}")
+
+    def without(self, gone: DataFrame) -> DataFrame:
+        """The table's rows, under its own names, but those numbered in ``gone`` (column row)."""
+        gone = self.scratch.write(gone, "gone", keep=True)
+        left = self.table.join(gone.hint("merge"), "row", "left_anti").drop("row")
+        return left.toDF(*self.names)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from weft.llm.common import Scratch, begin, text_bytes
+from weft.llm.common import Rows, Scratch, begin, text_bytes
 
 
 def digests(documents: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -39,7 +39,11 @@ def digests(documents: DataFrame, keep_text: bool = False) -> DataFrame:
 
 def exact_groups(documents: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of ``documents``."""
-    scratch = Scratch(documents.sparkSession)
+    with Scratch(documents.sparkSession) as scratch:
+        return _groups(documents, scratch)
+
+
+def _groups(documents: DataFrame, scratch: Scratch) -> DataFrame:
     rows = scratch.write(digests(documents), "digests", keep=True)
     groups = scratch.write(rows.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")), "groups", keep=True)
     # the texts of groups of several rows; each is compared with that of the row that stays
@@ -51,17 +55,15 @@ def exact_groups(documents: DataFrame) -> DataFrame:
     odd = texts.join(stay.hint("merge"), "h").where(~F.col("norm").eqNullSafe(F.col("first")))
     odd = scratch.write(odd.select("doc_id", "h", "norm"), "collisions")
     if odd.isEmpty():
-        scratch.close()
         joined = rows.join(groups.hint("merge"), "h")
     else:
-        joined = _apart(documents, rows, groups, odd, scratch)
+        joined = _apart(documents, rows, groups, scratch.write(odd.select("h").distinct(), "shared", keep=True))
     kept = F.col("doc_id").eqNullSafe(F.col("keep"))
     return joined.select("doc_id", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
-def _apart(documents: DataFrame, rows: DataFrame, groups: DataFrame, odd: DataFrame, scratch: Scratch) -> DataFrame:
+def _apart(documents: DataFrame, rows: DataFrame, groups: DataFrame, shared: DataFrame) -> DataFrame:
     """Groups for hashes that several texts share: by hash and full text."""
-    shared = odd.select("h").distinct()
     by_text = digests(documents, keep_text=True).join(shared.hint("merge"), "h", "left_semi")
     by_text = by_text.join(by_text.groupBy("h", "norm").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")), ["h", "norm"])
     by_text = by_text.select("doc_id", "n", "keep", F.sha2("norm", 256).alias("text_sha256"))
@@ -70,6 +72,11 @@ def _apart(documents: DataFrame, rows: DataFrame, groups: DataFrame, odd: DataFr
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; repeats of one doc_id and text stay."""
-    decided = exact_groups(documents).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return documents.join(decided.hint("merge"), documents["doc_id"] == decided["_dropped"], "left_anti")
+    """The documents with all their columns, one row of each text: of equal texts one with the
+    largest doc_id (a null one is smaller than any other), of rows that share that as well the
+    first.  Decisions go by row, so a null or shared doc_id drops no row with another text."""
+    with Scratch(documents.sparkSession) as scratch:
+        rows = Rows(documents, scratch)
+        keys = F.struct(rows.column("doc_id").alias("id"), F.negate("row").alias("r")).alias("doc_id")
+        decided = exact_groups(rows.table.select(keys, rows.column("text").alias("text")))
+        return rows.without(decided.where(~F.col("kept")).select((-F.col("doc_id.r")).alias("row")))

@@ -33,7 +33,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from weft.llm.blocks import Block, Blocks, Keys, count_keys, whole
-from weft.llm.common import ITEMS_A, U64, Scratch, mix, slices, word_hashes, words_of
+from weft.llm.common import ITEMS_A, U64, Rows, Scratch, mix, slices, word_hashes, words_of
 
 SHINGLE, SIMILAR = 2, 80
 REGISTERS = 252
@@ -366,7 +366,7 @@ def _groups(documents: DataFrame, words: int, percent: int, scratch: Scratch) ->
         c: list[bytes | None] = [None] * len(p.sets)
         for i, x in zip(p.full.tolist(), p.digest, strict=True):
             c[i] = x
-        yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array([len(x) for x in p.sets], pa.int64()), pa.array(c, pa.binary())], ["doc_id", "n", "c"])
+        yield pa.RecordBatch.from_arrays([block.ids, pa.array([len(x) for x in p.sets], pa.int64()), pa.array(c, pa.binary())], ["doc_id", "n", "c"])
 
     rows = scratch.write(blocks.each(profiles, f"doc_id {blocks.kind}, n bigint, c binary"), "rows")
     blocks.ask("classes", lambda block, n: Profiles(block, words).classes(n).messages(), first_keys)
@@ -436,6 +436,12 @@ def _groups(documents: DataFrame, words: int, percent: int, scratch: Scratch) ->
 
 
 def keep_one(documents: DataFrame, words: int = 5, percent: int = SIMILAR) -> DataFrame:
-    """The documents, with all their columns, of which each component keeps the smallest doc_id."""
-    gone = near_groups(documents, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return documents.join(gone.hint("merge"), documents["doc_id"] == gone["_dropped"], "left_anti")
+    """The documents, with all their columns, one of each component: that with the smallest doc_id (a
+    null one is larger than any other), of rows that share it the first.  Texts without words
+    are linked with nothing, so they all stay.  Decisions go by row, not by doc_id."""
+    with Scratch(documents.sparkSession) as scratch:
+        rows = Rows(documents, scratch)
+        own = rows.column("doc_id")
+        keys = F.struct(own.isNull().alias("n"), own.alias("id"), F.col("row").alias("r")).alias("doc_id")
+        groups = near_groups(rows.table.select(keys, rows.column("text").alias("text")), words, percent)
+        return rows.without(groups.where(~F.col("kept")).select(F.col("doc_id.r").alias("row")))

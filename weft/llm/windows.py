@@ -115,7 +115,7 @@ def _remove(documents: DataFrame, window: int, keep_text: bool, scratch: Scratch
         for i, j in zip(first, first[1:], strict=False):
             stay = np.flatnonzero(~gone[i:j]) + i
             kept.append(b" ".join([data[s:e] for s, e in zip(w.starts[stay].tolist(), w.ends[stay].tolist(), strict=True)]))
-        out = {"doc_id": pa.array(block.ids), "n_words": pa.array(np.diff(w.first)), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
+        out = {"doc_id": block.ids, "n_words": pa.array(np.diff(w.first)), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
         if keep_text:
             out["kept"] = pa.array(kept, pa.binary())
         yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
