@@ -13,6 +13,7 @@ FAST = (
     "rules_of_calls", "rules_of_monitors", "rules_of_blocks", "rules_of_ends_and_starts", "rules_without_actions", "locks_used", "lock_users", "safe_locks", "call_edges",
     "field_accesses", "field_objects", "shared_objects", "access_annotations", "program_points", "method_entry_set", "exception_kinds", "flow_graph", "call_graph_lines",
     "isolation_product", "mnfs_conflict_pair", "mnfs_facts", "mnfs_graph", "trim_base", "scc_sizes", "map_lattice", "genkill_composition",
+    "result_tree", "result_print", "enabled_rules", "network_step",
 )
 
 

@@ -28,10 +28,13 @@ def test_tasks(spark):
 
 def test_round_trip():
     network = text.parse_task(TASK % "").network
-    assert text.parse(text.print_network(network)).rules == network.rules
+    again = text.parse(text.print_network(network))
+    assert again.rules == network.rules
+    assert again.names["controls"] == {"0": "run"} and again.names["locks"] == {"l": "lock"}
     numbered = text.parse(text.print_network(network, numbered=True))
     assert [r.kind for r in numbered.rules] == [r.kind for r in network.rules]
     assert numbered.initial == ("0", "0")
+    assert numbered.names["locks"] == {"0": "lock"} and numbered.names["stacks"]["0"] == "m0"
 
 
 def test_without_controls():

@@ -17,7 +17,7 @@ def least_fixpoint(
     seed: DataFrame,
     step: Callable[[DataFrame, DataFrame], DataFrame],
     stop: Callable[[DataFrame], DataFrame] | None = None,
-    rounds: int = 1000,
+    rounds: int | None = None,
     keys: Sequence[str] | None = None,
     report: Callable[[int, int], None] | None = None,
 ) -> DataFrame:
@@ -27,11 +27,13 @@ def least_fixpoint(
     is written to the shared folder, so plans stay short and no executor's loss repeats earlier
     rounds.  With ``stop`` the loop ends early once that filter of the new rows has a row.  With
     ``keys`` rows that agree in these are one: the least of the round that found it first stays.
-    ``report`` is called with each round's number and new rows, and may raise to end the loop.
+    ``rounds`` (else the session's ``weft.fixpoint.rounds``, else 100,000) guards against a ``step`` that
+    never ends: beyond it the call fails.  ``report`` is called with each round's number and new rows, and may raise to end the loop.
     Null never equals null in the comparison with earlier rows, so columns must not be null.
     """
     spark, columns = seed.sparkSession, seed.columns
     keys = list(keys or columns)
+    rounds = rounds or int(spark.conf.get("weft.fixpoint.rounds", "100000"))
     rest = [c for c in columns if c not in keys]
     tables = Tables(spark)
     schema = seed.schema

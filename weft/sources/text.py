@@ -198,8 +198,16 @@ def parse_task(text: str) -> Task:
     return task
 
 
+def parse_any(text: str) -> Network | Task:
+    """A network, or a question if one follows it."""
+    reader = _Reader(text)
+    network = reader.network()
+    return network if reader.peek() is None else parse_task(text)
+
+
 def print_network(network: Network, numbered: bool = False) -> str:
-    """The text of a network; with ``numbered`` terms are replaced by their place in term order."""
+    """The text of a network, names included; with ``numbered`` terms are replaced by their place in term
+    order and named by what they were called."""
     controls = sorted({x for r in network.rules for x in (r.g, r.g1, r.g2) if x is not None} | {network.initial[0]})
     kinds = {"c": controls, "s": sorted(network.symbols()), "a": sorted({r.action for r in network.rules}), "l": network.locks()}
     places = {k: {x: str(i) for i, x in enumerate(v)} for k, v in kinds.items()}
@@ -211,7 +219,13 @@ def print_network(network: Network, numbered: bool = False) -> str:
         started = f":>{t('c', r.g2)},{t('s', r.s2)}" if r.kind == "spawn" else ""
         lines.append(f"    ({t('c', r.g)},{t('s', r.s)}){arrow}({','.join(right)}{started})")
     start = f"initial({t('c', network.initial[0])},{t('s', network.initial[1])})"
-    return "\n".join(["dpn{", f"  {start}", "  rules{", *lines, "  }", "}"])
+    sections = []
+    for (kind, terms), section in zip(kinds.items(), _SECTIONS, strict=True):
+        names = network.names.get(section, {})
+        entries = {x: names.get(x, x) for x in ([*terms] if numbered else [*terms, *(n for n in names if n not in terms)])}
+        if numbered or names:
+            sections.append(f"  {section}{{" + ", ".join(f'{t(kind, x)}:"{name}"' for x, name in entries.items()) + "}")
+    return "\n".join(["dpn{", *sections, f"  {start}", "  rules{", *lines, "  }", "}"])
 
 
 def tables(spark: SparkSession, networks: dict[str, Network], forbidden: dict[str, list[set[str]]] | None = None) -> tuple[DataFrame, DataFrame]:
