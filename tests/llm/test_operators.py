@@ -232,6 +232,32 @@ def test_small_sets_share_a_key(percent):
             assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
 
 
+def _best(rows):
+    """Brute force over rows (vec_id, vector) that are sound; of a repeated query the least vector counts."""
+    own = [(i, tuple(np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int).tolist())) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in own if i % 100 == 0}):
+        x = min(v for i, v in own if i == q)
+        best = sorted((-sum(a * b for a, b in zip(x, v)), c) for c, v in own if c != q and len(v) == len(x))[:10]
+        want += [(q, k, c, -s) for k, (s, c) in enumerate(best, 1)]
+    return sorted(want)
+
+
+def test_top_k_in_many_cells(spark, monkeypatch):
+    """Small shards and groups, an id that a third of the rows share, ties, other lengths, clashing columns."""
+    for name, value in (("BLOCK", 8), ("SHARD", 2), ("CHUNK", 2), ("GROUP", 1)):
+        monkeypatch.setattr(topk, name, value)
+    rnd = np.random.default_rng(5)
+    rows = [(i * 25, rnd.integers(-3, 3, 4).astype(float).tolist()) for i in range(80)] + [(100, rnd.integers(-3, 3, 4).astype(float).tolist()) for _ in range(40)]
+    rows += [(3000 + i, [1.0, 2.0]) for i in range(4)] + [(5000, [2.0, 0.5])]
+    frame = spark.createDataFrame([(*r, 1, "z") for r in rows], "vec_id bigint, embedding array<float>, shard int, part string").repartition(3)
+    assert sorted(tuple(r) for r in topk.top_k(frame).collect()) == _best(rows)
+    assert topk.top_k(frame.where("false")).count() == 0
+    assert topk.top_k(frame.where("vec_id = 100")).count() == 0  # no candidates but its own rows
+    nothing = spark.createDataFrame([(100, None), (None, [1.0]), (200, [])], "vec_id bigint, embedding array<float>")
+    assert topk.top_k(nothing).count() == 0
+
+
 def test_top_k(spark):
     rnd = np.random.default_rng(1)
     rows = [(i, rnd.normal(size=8).tolist()) for i in range(300)] + [(301, None), (302, [1.0, None] + [0.0] * 6), (400, [float("nan")] * 8), (303, rnd.normal(size=8).tolist())]

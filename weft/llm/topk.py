@@ -4,14 +4,18 @@ Vectors are cut into blocks of a range of ids; a block keeps its forward index (
 component after the other) and each component's largest and smallest value.  A query's bound
 for a block is the sum over components of the larger product with those two.  Each query
 takes blocks in falling order of bound and stops at the first whose bound lies below its
-k-th score so far, so that ties are never lost.  Queries travel in chunks of a fixed number;
-every shard of blocks meets every chunk, and returns k rows for each query.
+k-th score so far, so that ties are never lost.  Queries travel in chunks of a fixed number,
+chunks in groups of a fixed number; every shard of blocks meets every group in a task of its own,
+which returns k rows for each query.  So a task holds one shard and one group at most, however
+many vectors and queries there are and however many rows share a vec_id.
 
 A component x counts as floor(1024 * x), x as double.  Vectors that are null, or hold a null, NaN
 or infinity, or are empty, take no part; a query is compared with vectors of its own length.
 A null vec_id takes no part.  Rows that share a vec_id are candidates one by one, and no
 candidate of a query with the same vec_id; a query that is repeated is answered once, for its
-first vector in the order of its components.  Scores beyond 64 bits are not supported.
+first vector in the order of its components.  Equal scores go to the smaller vec_id; a query with
+fewer than k candidates gets all of them; an empty table gives an empty result.  Columns other
+than vec_id and the vectors are not read.  Scores beyond 64 bits are not supported.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from pyspark.sql import DataFrame, Window
 from weft.llm.common import Scratch
 
 K, SCALE, EVERY = 10, 1024, 100
-#: Vectors of a block, blocks of a shard, queries of a chunk.
-BLOCK, SHARD, CHUNK = 512, 32, 256
+#: Vectors of a block, blocks of a shard, queries of a chunk, chunks of a group.
+BLOCK, SHARD, CHUNK, GROUP = 512, 32, 256, 64
 
 
 def _valid(vectors: DataFrame, column: str) -> DataFrame:
@@ -101,17 +105,20 @@ def top_k(vectors: DataFrame, column: str = "embedding", k: int = K, every: int
     """query_id, rank, vec_id, score for every query: a row whose vec_id is divisible by ``every``."""
     scratch = Scratch(vectors.sparkSession)
     rows = _valid(vectors, column)
-    count = vectors.count()
-    parts = max(1, -(-count // (BLOCK * SHARD)))
-    ranged = rows.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id")
+    size = vectors.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.pmod(F.col("vec_id").cast("long"), F.lit(every)) == 0).alias("queries")).first()
+    parts = max(1, -(-size.rows // (BLOCK * SHARD)))
+    # the row number splits ids that very many rows share
+    ranged = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(parts, "vec_id", "at").sortWithinPartitions("vec_id")
     blocks = _packed(ranged, BLOCK, "block").withColumn("shard", F.spark_partition_id())
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min(F.struct("d", "v")).alias("m")).select("vec_id", "m.d", "m.v")
-    chunks = _packed(asked.repartitionByRange(max(1, -(-count // (every * CHUNK))), "vec_id"), CHUNK, "query")
-    chunks = scratch.write(chunks.withColumn("chunk", F.monotonically_increasing_id()), "queries", keep=True)
+    chunks = _packed(asked.repartitionByRange(max(1, -(-size.queries // CHUNK)), "vec_id"), CHUNK, "query")
+    chunks = scratch.write(chunks.withColumn("part", (F.spark_partition_id() / GROUP).cast("int")), "queries", keep=True)
     blocks = scratch.write(blocks, "blocks", keep=True)
-    # a fixed number of queries against all rows, block by block
-    shards = blocks.select("shard", F.col("d").alias("of")).distinct().groupBy("of").agg(F.collect_set("shard").alias("shards"))
-    pairs = chunks.join(shards, chunks["d"] == shards["of"]).select("chunk", "d", "query_ids", "query_values", F.explode("shards").alias("shard"))
+    # a fixed number of queries against all rows, block by block: each side learns its cells
+    shards = blocks.groupBy(F.col("d").alias("of")).agg(F.collect_set("shard").alias("shards"))
+    groups = chunks.groupBy(F.col("d").alias("of")).agg(F.collect_set("part").alias("groups"))
+    asking = chunks.join(shards, chunks["d"] == shards["of"]).select("part", "d", "query_ids", "query_values", F.explode("shards").alias("shard"))
+    answering = blocks.join(groups, blocks["d"] == groups["of"]).select("shard", "d", "block_ids", "block_values", F.explode("groups").alias("part"))
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: tuple[list, list, list] = ([], [], [])
@@ -122,7 +129,8 @@ def top_k(vectors: DataFrame, column: str = "embedding", k: int = K, every: int
                     a += b
         return pd.DataFrame({"query_id": out[0], "vec_id": out[1], "score": out[2]}, dtype="int64")
 
-    found = pairs.groupBy("shard").cogroup(blocks.groupBy("shard")).applyInPandas(meet, "query_id long, vec_id long, score long")
+    cell = ("shard", "part")
+    found = asking.groupBy(*cell).cogroup(answering.groupBy(*cell)).applyInPandas(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
