@@ -53,6 +53,12 @@ def test_bpe_is_that_of_the_library(docs, empty):
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(texts[r.doc_id])
         assert r.decoded == texts[r.doc_id].encode() and r.decoded_sha256 == hashlib.sha256(r.decoded).hexdigest()
     assert bpe.encode_documents(empty, path).count() == 0
+    rnd = random.Random(13)
+    hard = ["".join(rnd.choice("ab \n'sé0 1中\u3000A.\t😀") for _ in range(rnd.randint(0, 90))) for _ in range(400)] + ["a" * 100_000, "word " * 50_000]
+    ids, counts = bpe.codec(path).encode_batch(hard)
+    ends = np.cumsum(counts)
+    for t, end, n in zip(hard, ends.tolist(), counts.tolist(), strict=True):
+        assert ids[end - n : end].tolist() == library.encode_ordinary(t)
 
 
 def test_exact_groups(docs, empty):

@@ -6,7 +6,9 @@ candidate pairs over the linked list of their bytes, lowest rank first and leftm
 equals.  Every worker keeps the ids of pre-tokens it has resolved; that memo is emptied when
 it reaches ``MEMO`` entries, so memory is bounded and results do not depend on it.
 
-Null and empty texts have no ids and decode to no bytes.  Repeated rows give repeated results.
+Null and empty texts have no ids and decode to no bytes.  Repeated rows give repeated results.  An
+empty table gives an empty result, columns other than doc_id and text are not read, and texts and
+pre-tokens of any length are treated alike (those over ``LONGEST`` characters are not remembered).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weft.llm.common import U64, begin, kept
+from weft.llm.common import begin, kept
 from weft.llm.runs import LONGEST, Memo, code_points, hashes
 
 #: Entries of the memo of resolved pre-tokens in one worker.
@@ -207,8 +209,12 @@ class Codec:
                 number[:] = self.memo.find(a, b)
                 missing = np.arange(len(a))
             long = ends[missing] - starts[missing] > LONGEST
-            _, one, back = np.unique(a[missing] + U64(3) * b[missing], return_index=True, return_inverse=True)
-            one = np.concatenate([missing[one], missing[long]])
+            order = np.lexsort((b[missing], a[missing]))
+            p, q = a[missing][order], b[missing][order]
+            fresh = np.append(True, (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
+            back = np.empty(len(order), np.int64)
+            back[order] = np.cumsum(fresh) - 1
+            one = np.concatenate([missing[order[fresh]], missing[long]])
             data = x.tobytes()
             pieces = [data[4 * s : 4 * e].decode("utf-32-le", "surrogatepass").encode() for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
             own = np.arange(len(self.pool), len(self.pool) + len(one))

@@ -8,7 +8,9 @@ Mahalanobis terms use the classes' Cholesky factors, factored once and sent to t
 
 Null and empty texts are scored like any other (all counts zero).  Labels that are null or
 belong to no document are not used; of several labels of one document the largest counts.  If
-a class has no labelled row, every score is the share of label 1 (0.5 without labels).
+a class has no labelled row, every score is the share of label 1 (0.5 without labels).  A score
+equal to the threshold is predicted 1; repeated rows are scored alike; texts of any length are read
+whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -194,7 +194,8 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan_documents(documents: DataFrame, word_list: str | None) -> DataFrame:
-    """doc_id, counts of the base kinds (n_assign, n_access, n_hex), base_sha256 and spans."""
+    """doc_id, counts of the base kinds (n_assign, n_access, n_hex), base_sha256 and spans; no rows for
+    an empty table, zero counts for null and empty texts, a row for each of repeated rows."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
