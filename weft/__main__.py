@@ -1,4 +1,4 @@
-"""``python -m weft [-e] [-w] [-s] [-h] file``: answers the question in a file (Q16, Q17)."""
+"""``python -m weft [-e] [-w] [-s] [-p settings] [-h] file``: answers the question in a file (Q16, Q17)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import SparkSession
 
 from weft.operators import explore, witness
-from weft.sources import text
+from weft.sources import settings, text
 
 
 def arguments(given: list[str]) -> argparse.Namespace:
@@ -18,6 +18,7 @@ def arguments(given: list[str]) -> argparse.Namespace:
     parser.add_argument("-e", "--explore", action="store_true", help="run the network step by step instead")
     parser.add_argument("-w", "--witness", action="store_true", help="print a witness")
     parser.add_argument("-s", "--states", action="store_true", help="print a witness with the states of its nodes")
+    parser.add_argument("-p", "--settings", help="a file of settings, one name = value a line")
     return parser.parse_args(given)
 
 
@@ -58,6 +59,11 @@ def walk(spark: SparkSession, network: text.Network, ask=input) -> int:
 
 def main(given: list[str] | None = None) -> int:
     options = arguments(sys.argv[1:] if given is None else given)
+    try:
+        own = settings.find(options.settings)
+    except (OSError, ValueError) as e:
+        print(f"settings: {e}", file=sys.stderr)
+        return 1
     try:
         with open(options.file, encoding="utf-8") as f:
             found = text.parse_any(f.read())
@@ -66,7 +72,8 @@ def main(given: list[str] | None = None) -> int:
     except (OSError, ValueError) as e:
         print(f"{options.file}: {e}", file=sys.stderr)
         return 1
-    spark = SparkSession.builder.appName("weft").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    builder = SparkSession.builder.appName("weft").config("spark.ui.showConsoleProgress", "false")
+    spark = settings.apply(builder, own).getOrCreate()
     if options.explore:
         return walk(spark, found.network if isinstance(found, text.Task) else found)
     return conflict(spark, found, options.witness or options.states, options.states)
