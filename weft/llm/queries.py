@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import bpe, dedup, langid, minhash, packing, periodic, quality, secretscan, suffix, topk, windows
+from weft.llm import bpe, dedup, langid, minhash, packing, periodic, personal, quality, secretscan, suffix, topk, windows
 
 
 def vocabulary(name: str) -> str:
@@ -61,7 +61,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.find_runs(table(spark, sf_dir, "documents"), periodic.rewritten)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_top_k, op4_substring_dedup, op5_packing, op6_byte_bpe, op7_near_dedup, op8_suffix_dedup, op9_secrets, op10_language, op12_periodic_runs)}
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_top_k, op4_substring_dedup, op5_packing, op6_byte_bpe, op7_near_dedup, op8_suffix_dedup, op9_secrets, op10_language, op12_periodic_runs, op13_personal_data)}
 
 #: DuckDB lower() differs from lower-casing A-Z beyond ASCII; translate() does not.
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
