@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import functools
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from weft.sources.scratch import Tables
 
@@ -13,23 +16,59 @@ from weft.sources.scratch import Tables
 MERGE = 12
 
 
-def least_fixpoint(
+@dataclass(eq=False)
+class Order:
+    """Which rows make others needless: rows that agree in ``on`` are compared by ``better``, which tells
+    from two look-ups of columns whether the first row is at least as good as the second.  It is a partial
+    order, and a step from a better row gives a better row."""
+
+    on: Sequence[str]
+    better: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+
+    def best(self, rows: DataFrame) -> DataFrame:
+        """The rows that no other one is better than, by one grouping.  A group holds the states of one key, so its
+        size follows the number of states and not the table."""
+        together, apart = self._columns(tuple(c for c in rows.columns if c not in self.on))
+        return rows.groupBy(*self.on).agg(together).select(*self.on, apart).select(*rows.columns)
+
+    @functools.cache  # noqa: B019  (an order lives as long as its fixpoint)
+    def _columns(self, states: tuple[str, ...]) -> tuple[Column, Column]:
+        beaten = lambda x: F.exists("_states", lambda y: (y != x) & self.better(lambda c: y[c], lambda c: x[c]))
+        return F.collect_set(F.struct(*states)).alias("_states"), F.inline(F.filter("_states", lambda x: ~beaten(x)))
+
+    @functools.cached_property
+    def _covers(self) -> Column:
+        same = reduce(lambda a, b: a & b, (F.col(f"n.{c}") == F.col(f"k.{c}") for c in self.on))
+        return same & self.better(lambda c: F.col(f"k.{c}"), lambda c: F.col(f"n.{c}"))
+
+    def beyond(self, rows: DataFrame, known: DataFrame) -> DataFrame:
+        """The rows that no known one is at least as good as."""
+        return rows.alias("n").join(known.alias("k"), self._covers, "left_anti").select(*rows.columns)
+
+
+@dataclass
+class Round:
+    """What a round found: ``count`` new rows, ``new``, all rows ``known``, and what it settled (with ``settle``)."""
+
+    number: int
+    count: int
+    new: DataFrame
+    known: DataFrame
+    settled: DataFrame | None = None
+
+
+def advance(
     seed: DataFrame,
     step: Callable[[DataFrame, DataFrame], DataFrame],
-    stop: Callable[[DataFrame], DataFrame] | None = None,
     rounds: int | None = None,
     keys: Sequence[str] | None = None,
-    report: Callable[[int, int], None] | None = None,
-) -> DataFrame:
-    """All rows derivable from ``seed`` by ``step(new, all)``, as a set.
+    order: Order | None = None,
+    settle: tuple[str, Callable[[DataFrame], DataFrame]] | None = None,
+) -> Iterator[Round]:
+    """The rounds of ``least_fixpoint``, one at a time; the last one has no new rows.
 
-    ``step`` gives rows with the columns of ``seed`` that use at least one new row.  Every round
-    is written to the shared folder, so plans stay short and no executor's loss repeats earlier
-    rounds.  With ``stop`` the loop ends early once that filter of the new rows has a row.  With
-    ``keys`` rows that agree in these are one: the least of the round that found it first stays.
-    ``rounds`` (else the session's ``weft.fixpoint.rounds``, else 100,000) guards against a ``step`` that
-    never ends: beyond it the call fails.  ``report`` is called with each round's number and new rows, and may raise to end the loop.
-    Null never equals null in the comparison with earlier rows, so columns must not be null.
+    ``settle`` names a column and gives, from a round's new rows, the values of it (a table of that column)
+    that need no more rows: these take no part in later rounds.
     """
     spark, columns = seed.sparkSession, seed.columns
     keys = list(keys or columns)
@@ -39,28 +78,102 @@ def least_fixpoint(
     schema = seed.schema
 
     def once(rows: DataFrame) -> DataFrame:
+        if order is not None:
+            return order.best(rows)
         if not rest:
             return rows.distinct()
         return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_least")).select(*(F.col(c) if c in keys else F.col(f"_least.{c}").alias(c) for c in columns))
 
+    def unknown(rows: DataFrame, known: DataFrame) -> DataFrame:
+        if order is not None:
+            return order.beyond(rows, known)
+        return rows.join(known.select(*keys), keys, "left_anti").select(*columns)
+
     path, count = tables.counted(once(seed))
     paths = [path]
     new = known = tables.read(schema, path)
-    for turn in range(rounds):
-        if report is not None:
-            report(turn, count)
-        if not count or (stop is not None and not stop(new).isEmpty()):
-            return known
-        found = once(step(new, known).select(*columns)).join(known.select(*keys), keys, "left_anti").select(*columns)
+    done: list[str] = []
+    for number in range(rounds):
+        settled = None
+        if settle is not None and count:
+            name, decided = settle
+            values = decided(new).select(name).distinct()
+            if done:
+                values = values.join(tables.read(values.schema, *done), name, "left_anti")
+            path, n = tables.counted(values)
+            if n:
+                done.append(path)
+                settled = tables.read(values.schema, path)
+                new = new.join(tables.read(values.schema, *done), name, "left_anti").select(*columns)
+        yield Round(number, count, new, known, settled)
+        if not count:
+            return
+        found = unknown(once(step(new, known).select(*columns)), known)
         path, count = tables.counted(found)
         new = tables.read(schema, path)
-        if not count:
-            return known
-        paths.append(path)
-        known = tables.read(schema, *paths)
+        if count:
+            paths.append(path)
+            known = tables.read(schema, *paths)
         if len(paths) > MERGE:
-            merged = tables.write(known)
+            merged = tables.write(known if order is None else order.best(known))
             tables.drop(*paths[:-1])  # the last one is still read as new
             paths = [merged]
             known = tables.read(schema, *paths)
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
+
+
+def least_fixpoint(
+    seed: DataFrame,
+    step: Callable[[DataFrame, DataFrame], DataFrame],
+    stop: Callable[[DataFrame], DataFrame] | None = None,
+    rounds: int | None = None,
+    keys: Sequence[str] | None = None,
+    report: Callable[[int, int], None] | None = None,
+    order: Order | None = None,
+) -> DataFrame:
+    """All rows derivable from ``seed`` by ``step(new, all)``, as a set.
+
+    ``step`` gives rows with the columns of ``seed`` that use at least one new row.  Every round
+    is written to the shared folder, so plans stay short and no executor's loss repeats earlier
+    rounds.  With ``stop`` the loop ends early once that filter of the new rows has a row.  With
+    ``keys`` rows that agree in these are one: the least of the round that found it first stays.  With
+    ``order`` only rows that no other makes needless go on; some that are needless may be in the result.
+    ``rounds`` (else the session's ``weft.fixpoint.rounds``, else 100,000) guards against a ``step`` that
+    never ends: beyond it the call fails.  ``report`` is called with each round's number and new rows, and may raise to end the loop.
+    Null never equals null in the comparison with earlier rows, so columns must not be null.
+    """
+    for found in advance(seed, step, rounds, keys, order):
+        if report is not None:
+            report(found.number, found.count)
+        if stop is not None and found.count and not stop(found.new).isEmpty():
+            break
+    return found.known
+
+
+def spread_bits(seed: DataFrame, step: Callable[[DataFrame], DataFrame], on: Sequence[str], rounds: int | None = None) -> DataFrame:
+    """The least table of bit sets (columns ``on`` and bits, a bigint) that holds ``seed`` and, with each row, those of
+    ``step``: rows that agree in ``on`` are one, with all their bits.  Only bits that are new to a row go on."""
+    spark, on = seed.sparkSession, list(on)
+    rounds = rounds or int(spark.conf.get("weft.fixpoint.rounds", "100000"))
+    tables = Tables(spark)
+    merged = lambda rows: rows.groupBy(*on).agg(F.bit_or("bits").alias("bits"))
+    path, count = tables.counted(merged(seed))
+    schema = merged(seed).schema
+    paths = [path]
+    new = known = tables.read(schema, path)
+    for _ in range(rounds):
+        if not count:
+            return merged(known)
+        before = merged(known).withColumnRenamed("bits", "before")
+        found = merged(step(new)).join(before, on, "left")
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("before", F.lit(0).cast("bigint"))))
+        path, count = tables.counted(found.select(*on, fresh.alias("bits")).where("bits <> 0"))
+        new = tables.read(schema, path)
+        if count:
+            paths.append(path)
+        if len(paths) > MERGE:
+            whole = tables.write(merged(tables.read(schema, *paths)))
+            tables.drop(*paths[:-1])
+            paths = [whole]
+        known = tables.read(schema, *paths)
+    raise RuntimeError(f"no fixpoint after {rounds} rounds")

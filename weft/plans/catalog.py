@@ -292,6 +292,6 @@ def genkill_reaching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return least_fixpoint(gen, step)
 
 
-from weft.plans import flows, lattices, outcomes, programs, samples, structures  # noqa: E402, F401  (registers its queries)
+from weft.plans import flows, lattices, outcomes, programs, samples, shared, structures  # noqa: E402, F401  (registers its queries)
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
