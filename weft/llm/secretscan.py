@@ -32,17 +32,17 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN = 12
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Credential contexts of the method; the value may hold any visible ASCII character.  One that a
-#: quote opens ends at that quote, another one at a quote without a letter or digit after it.
+#: Credential contexts of the method, and the value behind one, of any visible ASCII characters: one that a quote
+#: opens ends at that quote, another one at a quote without a letter or digit after it.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)"""
-    r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)(?:"([!#-~]+)|'([!-&(-~]+)|((?:[!#-&(-~]|["'](?=[A-Za-z0-9]))+))""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)["']?(?:\x20*[:=]\x20*|\x20+is\x20+)""",
     re.I | re.A,
 )
+VALUE = re.compile(r"""(?:"([!#-~]+)|'([!-&(-~]+)|((?:[!#-&(-~]|["'](?=[A-Za-z0-9]))+))""")
 #: Every match of ASSIGN or CONTEXT holds one of these, in lower case.
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
-#: Least log10 of guesses of a value that is reported, and its least length.
-MIN_LOG10, SHORTEST = 9.0, 8
+#: Least log10 of guesses of a value that is reported.
+MIN_LOG10 = 9.0
 #: Rows of a keyboard.
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
@@ -175,17 +175,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _ended(value: str, quoted: bool) -> str:
+    """A value without what ends its sentence: a quoted one is whole; else points, commas and colons at its end go, and
+    a bracket that nothing in it opens."""
+    if quoted:
+        return value
+    value = value.rstrip(".,;:")
+    while value.endswith(")") and value.count("(") < value.count(")"):
+        value = value[:-1].rstrip(".,;:")
+    return value
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], words: Words) -> list[tuple[int, int, int]]:
-    """Values in credential contexts that no base span covers and that are costly to guess."""
-    out = []
-    for m in CONTEXT.finditer(text) if hinted(text) else ():
-        start = m.start(m.lastindex)
-        value = m[m.lastindex].rstrip(".,;:!?)")
+    """Values in credential contexts that no base span covers and that are costly to guess.
+
+    A context right behind another one takes its value over.  Contexts inside a value that is not reported are
+    judged too, each with what follows it up to the next one, so each character is judged twice at most."""
+    if not hinted(text):
+        return []
+    found = [(m.start(), m.end()) for m in CONTEXT.finditer(text)]
+    out: list[tuple[int, int, int]] = []
+    whole = 0  # where the last whole value ends
+    reported = False
+    for i, (_, at) in enumerate(found):
+        following = found[i + 1][0] if i + 1 < len(found) else len(text)
+        inside = at < whole
+        if following <= at or (following == at + 1 and text[at] in "\"'") or (inside and reported):
+            continue
+        m = VALUE.match(text, at, min(whole, following) if inside else len(text))
+        if m is None:
+            continue
+        start, end = m.span(m.lastindex)
+        value = _ended(text[start:end], m.lastindex < 3)
+        if not inside:
+            whole, reported = end, False
         end = start + len(value)
-        if len(value) < SHORTEST or any(s <= start and end <= e for s, _, e in base):
+        if not value or any(s <= start and end <= e for s, _, e in base):
+            reported = reported or bool(value)
             continue
         if guess_cost(value, words) >= MIN_LOG10:
             out.append((start, 3, end))
+            reported = True
     return out
 
 
