@@ -6,20 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weft.operators import emptiness
 from weft.sources import text
-from weft.sources.text import Network, Rule
+from weft.sources.text import Network
 
-#: Initial symbol, then rules: s>s1 base, s+callee|return(@lock) push,
-#: s>s1&started spawn, s! pop.
+#: The networks, in the text form.
 NETWORKS = {
-    1: ("1", "1>2 2+3|10 3>4&10 4!"),
-    2: ("1", "1>2 2>3 3>4 4>4"),
-    3: ("a1", "a1>a2 a2+b1|a3 a3>a4 a4>a4 b1>b2 b2! c1+d1|c2 c2>c3 c3>c3 d1+d1|d2 d2>d3 d3!"),
-    4: ("a1", "a1>a2 a2+b1|a3 a3>a4 a4>a4 b1>b2 b2>b3&c1 b3! c1+d1|c2 c2>c3 c3>c3 d1+d1|d2 d2>d3 d3!"),
-    5: ("a1", "a1>a2 a2+b1|a3 a3>a4 a4>a4 b1>b2 b2>b3&c1 b3! c1+d1|c2 c2>c3 c3>c3 d1>d2 d2>d3 d3!"),
-    6: ("a1", "a1+b1|a2 a2>a3 a3>a4 a4>a4 b1>b2&c1 b2! c1>c2 c2>c2"),
-    7: ("a1", "a1+b1|a2@l a2>a3 a3>a4 a4>a4 b1>b2&c1 b2! c1+d1|c2@l c2>c2 d1>d2 d2!"),
-    8: ("a0", "a0>a1 a1+b1|a2@l a2>a3 a3>a3 b1>b2 b2!"),
-    9: ("a0", "a0>a1&c1 a1+b1|a2@l a2>a3 a3>a3 b1>b2 b2! c1+d1|c2@l c2>c2 d1>d2 d2!"),
+    1: """dpn{ initial(1,1) rules{
+        (1,1)--t0-->(1,2) (1,2)--t1-->(1,3,10) (1,3)--t2-->(1,4:>1,10) (1,4)--t3-->(1) }}""",
+    2: """dpn{ initial(1,1) rules{
+        (1,1)--t0-->(1,2) (1,2)--t1-->(1,3) (1,3)--t2-->(1,4) (1,4)--t3-->(1,4) }}""",
+    3: """dpn{ initial(1,a1) rules{
+        (1,a1)--t0-->(1,a2) (1,a2)--t1-->(1,b1,a3) (1,a3)--t2-->(1,a4) (1,a4)--t3-->(1,a4)
+        (1,b1)--t4-->(1,b2) (1,b2)--t5-->(1) (1,c1)--t6-->(1,d1,c2) (1,c2)--t7-->(1,c3) (1,c3)--t8-->(1,c3)
+        (1,d1)--t9-->(1,d1,d2) (1,d2)--t10-->(1,d3) (1,d3)--t11-->(1) }}""",
+    4: """dpn{ initial(1,a1) rules{
+        (1,a1)--t0-->(1,a2) (1,a2)--t1-->(1,b1,a3) (1,a3)--t2-->(1,a4) (1,a4)--t3-->(1,a4)
+        (1,b1)--t4-->(1,b2) (1,b2)--t5-->(1,b3:>1,c1) (1,b3)--t6-->(1) (1,c1)--t7-->(1,d1,c2)
+        (1,c2)--t8-->(1,c3) (1,c3)--t9-->(1,c3) (1,d1)--t10-->(1,d1,d2) (1,d2)--t11-->(1,d3)
+        (1,d3)--t12-->(1) }}""",
+    5: """dpn{ initial(1,a1) rules{
+        (1,a1)--t0-->(1,a2) (1,a2)--t1-->(1,b1,a3) (1,a3)--t2-->(1,a4) (1,a4)--t3-->(1,a4)
+        (1,b1)--t4-->(1,b2) (1,b2)--t5-->(1,b3:>1,c1) (1,b3)--t6-->(1) (1,c1)--t7-->(1,d1,c2)
+        (1,c2)--t8-->(1,c3) (1,c3)--t9-->(1,c3) (1,d1)--t10-->(1,d2) (1,d2)--t11-->(1,d3) (1,d3)--t12-->(1) }}""",
+    6: """dpn{ initial(1,a1) rules{
+        (1,a1)--t0-->(1,b1,a2) (1,a2)--t1-->(1,a3) (1,a3)--t2-->(1,a4) (1,a4)--t3-->(1,a4)
+        (1,b1)--t4-->(1,b2:>1,c1) (1,b2)--t5-->(1) (1,c1)--t6-->(1,c2) (1,c2)--t7-->(1,c2) }}""",
+    7: """dpn{ initial(a1) rules{
+        (a1)--t0-l-->(b1,a2) (a2)--t1-->(a3) (a3)--t2-->(a4) (a4)--t3-->(a4) (b1)--t4-->(b2:>c1)
+        (b2)--t5-->() (c1)--t6-l-->(d1,c2) (c2)--t7-->(c2) (d1)--t8-->(d2) (d2)--t9-->() }}""",
+    8: """dpn{ initial(a0) rules{
+        (a0)--t0-->(a1) (a1)--t1-l-->(b1,a2) (a2)--t2-->(a3) (a3)--t3-->(a3) (b1)--t4-->(b2) (b2)--t5-->() }}""",
+    9: """dpn{ initial(a0) rules{
+        (a0)--t0-->(a1:>c1) (a1)--t1-l-->(b1,a2) (a2)--t2-->(a3) (a3)--t3-->(a3) (b1)--t4-->(b2)
+        (b2)--t5-->() (c1)--t6-l-->(d1,c2) (c2)--t7-->(c2) (d1)--t8-->(d2) (d2)--t9-->() }}""",
 }
 
 #: Fixed values: (network, symbols to be reached one after the other, locks heeded) to answer.
@@ -55,23 +73,7 @@ ORDERED = {
 
 
 def network(i: int) -> Network:
-    initial, rules = NETWORKS[i]
-    g = "1" if i < 7 else "0"
-    out = []
-    for j, r in enumerate(rules.split()):
-        action = f"t{j}"
-        if r.endswith("!"):
-            out.append(Rule("pop", g, r[:-1], action, g))
-        elif "+" in r:
-            s, rest = r.split("+")
-            rest, _, lock = rest.partition("@")
-            callee, ret = rest.split("|")
-            out.append(Rule("push", g, s, action, g, callee, None, ret, lock or None))
-        else:
-            s, rest = r.split(">")
-            s1, _, started = rest.partition("&")
-            out.append(Rule("spawn", g, s, action, g, s1, g, started) if started else Rule("base", g, s, action, g, s1))
-    return Network((g, initial), out)
+    return text.parse(NETWORKS[i])
 
 
 def ordered(spark: SparkSession, with_locks: bool, forbidden: bool = False) -> DataFrame:
