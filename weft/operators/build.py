@@ -12,7 +12,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from weft.operators import graph
+from weft.operators import components, graph
 from weft.operators.fixpoint import least_fixpoint
 from weft.sources.program import Program
 
@@ -200,6 +200,20 @@ def lock_users(p: Program) -> DataFrame:
     return locks_used(p).groupBy("obj").agg(F.count_distinct("node").alias("n"))
 
 
+def flow_cycles(p: Program) -> DataFrame:
+    """node, bb: blocks that a walk through their own method can come back to (R13), of all methods in one
+    pass: no edge joins two methods, so the components of all blocks together are those of each."""
+    block = lambda bb: F.struct(F.col("node"), F.col(bb).alias("bb"))
+    edges = p.succ.select(block("bb").alias("x"), block("bb2").alias("y")).distinct()
+    nodes = p.blocks.select(block("bb").alias("x"))
+    return components.in_cycle(nodes, edges).select("x.node", "x.bb")
+
+
+def looped_calls(p: Program, cycles: DataFrame) -> DataFrame:
+    """src, dst: calls at sites in cycles (node, bb) of their method, which may run many times for one run of it."""
+    return p.call_targets.join(cycles, ["node", "bb"], "left_semi").select(F.col("node").alias("src"), F.col("target").alias("dst")).distinct()
+
+
 def unique_sites(p: Program, once: DataFrame, cycles: DataFrame) -> DataFrame:
     """node, bb, idx of the ``new`` instructions that make one object at most (R14): in nodes that run
     once (``once``: node), at points outside cycles (``cycles``: node, bb)."""

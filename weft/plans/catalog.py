@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
-from weft.operators import conflict, graph, locks, status
+from weft.operators import conflict, graph, locks, status, strata
 from weft.plans import networks
 from weft.plans.registry import ORACLES, QUERIES, query
 from weft.sources import rules as source
@@ -273,23 +273,31 @@ def subset_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(source.derived(spark, sf_dir).select("s").distinct(), "s", "left_anti")
 
 
-@query(
-    f"""WITH RECURSIVE {DERIVED_SQL}, {EDGES_SQL},
+_REACHING = f"""WITH RECURSIVE {DERIVED_SQL}, {EDGES_SQL},
     g AS (SELECT s AS x, z % 5 AS var, s % 10 AS def FROM q WHERE k = 4),
     r(x, var, def) AS (SELECT * FROM g UNION SELECT e.y, r.var, r.def FROM r JOIN edges e ON e.x = r.x
         WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.x = e.y AND g.var = r.var)) SELECT x, var, def FROM r"""
-)
+
+
+def _definitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part = _table(spark, sf_dir, "part").where("p_size % 10 = 4")
+    gen = part.select(F.col("p_partkey").cast("bigint").alias("x"), (F.col("p_size") % 5).cast("bigint").alias("var"), (F.col("p_partkey") % 10).cast("bigint").alias("def"))
+    return source.edges(source.derived(spark, sf_dir)), gen
+
+
+@query(_REACHING)
 def genkill_reaching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions (var, def) that hold after a node: its own, or those of its predecessors that it
     does not overwrite."""
-    part = _table(spark, sf_dir, "part").where("p_size % 10 = 4")
-    gen = part.select(F.col("p_partkey").cast("bigint").alias("x"), (F.col("p_size") % 5).cast("bigint").alias("var"), (F.col("p_partkey") % 10).cast("bigint").alias("def"))
-    kill = gen.select(F.col("x").alias("y"), "var").distinct()
-    edges = source.edges(source.derived(spark, sf_dir))
-    step = lambda new, _: new.join(edges, "x").join(kill, ["y", "var"], "left_anti").select(F.col("y").alias("x"), "var", "def")
-    from weft.operators.fixpoint import least_fixpoint
+    return graph.reaching(*_definitions(spark, sf_dir))
+
 
-    return least_fixpoint(gen, step)
+@query(_REACHING)
+def stratified_reaching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by levels of components."""
+    edges, gen = _definitions(spark, sf_dir)
+    kill = gen.select("x", "var").distinct()
+    return strata.stratified(edges, gen, lambda rows, ways: graph.past_kills(rows, ways, kill))
 
 
 from weft.plans import flows, lattices, outcomes, programs, samples, shared, structures  # noqa: E402, F401  (registers its queries)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.operators import build
+from weft.operators import build, graph
 from weft.plans.registry import query
 from weft.sources import program
-from weft.sources.program import SQL
+from weft.sources.program import LOOPS_SQL, SQL
 
 
 def _interesting(p: program.Program) -> DataFrame:
@@ -131,37 +131,48 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.call_edges(program.derived(spark, sf_dir))
 
 
-_ONCE = """e AS (SELECT node AS x, target AS y, count(*) AS n FROM call_targets GROUP BY ALL),
+_ONCE = f"""{LOOPS_SQL}, e AS (SELECT node AS x, target AS y, count(*) AS n FROM call_targets GROUP BY ALL),
     r(x) AS (SELECT 0::BIGINT UNION SELECT y FROM r JOIN e USING (x)),
-    many0 AS (SELECT y AS x FROM e WHERE x IN (SELECT x FROM r) GROUP BY y HAVING sum(n) > 1 OR y = 0),
+    many0 AS (SELECT y AS x FROM e WHERE x IN (SELECT x FROM r) GROUP BY y HAVING sum(n) > 1 OR y = 0
+        UNION SELECT target FROM call_targets JOIN cyclic USING (node, bb) WHERE node IN (SELECT x FROM r)),
     many(x) AS (SELECT x FROM many0 UNION SELECT y FROM many JOIN e USING (x))"""
 
 
-@query(f"WITH RECURSIVE {SQL}, {_ONCE} SELECT x, x IN (SELECT x FROM many) AS many FROM r")
-def call_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of the call graph that run at most once, call sites counted."""
-    many, reached = _many(program.derived(spark, sf_dir), spark)
-    return reached.join(many.withColumn("many", F.lit(True)), "x", "left").select("x", F.coalesce("many", F.lit(False)).alias("many"))
+def _looped(spark: SparkSession, sf_dir: str) -> program.Program:
+    return program.with_loops(program.derived(spark, sf_dir), spark, sf_dir)
 
 
-def _many(p: program.Program, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    from weft.operators import graph
-
+def _many(p: program.Program, cycles: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     edges = build.call_edges(p).select(F.col("src").alias("x"), F.col("dst").alias("y"), F.col("n_sites").alias("n"))
+    looped = build.looped_calls(p, cycles).withColumnsRenamed({"src": "x", "dst": "y"})
     start = spark.range(1).select(F.col("id").alias("x"))
-    return graph.executed_many(edges, start), graph.forward(edges, start)
+    return graph.executed_many(edges, start, looped), graph.forward(edges, start)
+
+
+@query(f"WITH RECURSIVE {SQL}, {LOOPS_SQL} SELECT node, bb FROM cyclic")
+def flow_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks in cycles of their method, where the derived program has ways back."""
+    return build.flow_cycles(_looped(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {SQL}, {_ONCE} SELECT x, x IN (SELECT x FROM many) AS many FROM r")
+def call_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the call graph that run at most once: call sites counted, those in cycles as many."""
+    p = _looped(spark, sf_dir)
+    many, reached = _many(p, build.flow_cycles(p), spark)
+    return reached.join(many.withColumn("many", F.lit(True)), "x", "left").select("x", F.coalesce("many", F.lit(False)).alias("many"))
 
 
 @query(
     f"""WITH RECURSIVE {SQL}, {_ONCE}
-    SELECT node, bb, idx FROM instr WHERE kind = 'new' AND node IN (SELECT x FROM r) AND node NOT IN (SELECT x FROM many) AND NOT (bb = 1 AND node % 5 = 0)"""
+    SELECT node, bb, idx FROM instr WHERE kind = 'new' AND node IN (SELECT x FROM r) AND node NOT IN (SELECT x FROM many) AND (node, bb) NOT IN (SELECT (node, bb) FROM cyclic)"""
 )
 def unique_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block 1 of every fifth node counts as a cycle."""
-    p = program.derived(spark, sf_dir)
-    many, reached = _many(p, spark)
-    once = reached.join(many, "x", "left_anti").withColumnRenamed("x", "node")
-    return build.unique_sites(p, once, p.blocks.where("bb = 1 and node % 5 = 0").select("node", "bb"))
+    """Sites outside cycles, in nodes that run once."""
+    p = _looped(spark, sf_dir)
+    cycles = build.flow_cycles(p)
+    many, reached = _many(p, cycles, spark)
+    return build.unique_sites(p, reached.join(many, "x", "left_anti").withColumnRenamed("x", "node"), cycles)
 
 
 @query(

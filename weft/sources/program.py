@@ -13,7 +13,7 @@ bundles the tables.  Nodes, objects and variables are whole numbers.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -88,6 +88,19 @@ def derived(spark: SparkSession, sf_dir: str) -> Program:
     return Program(nodes, blocks, succ, instr, calls, points, classes, waits)
 
 
+def with_loops(p: Program, spark: SparkSession, sf_dir: str) -> Program:
+    """The derived program with a way back in the methods of some parts' sizes."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("bigint").alias("node"), (F.col("p_size") % 7).alias("z"))
+    back = F.expr("case z when 1 then named_struct('bb', 2, 'bb2', 0) when 3 then named_struct('bb', 1, 'bb2', 0) when 5 then named_struct('bb', 2, 'bb2', 1) when 6 then named_struct('bb', 1, 'bb2', 1) end")
+    ways = part.withColumn("w", back).where("w is not null").select("node", "w.bb", "w.bb2", F.lit(False).alias("exceptional"), F.lit(3).alias("ord"))
+    return replace(p, succ=p.succ.unionByName(ways))
+
+
+#: Blocks that follow each other in the program with ways back, after ``SQL``.
+LOOPS_SQL = """flow AS (SELECT DISTINCT node, bb, bb2 FROM succ UNION SELECT node, v.bb, v.bb2 FROM pa JOIN (VALUES (1, 2, 0), (3, 1, 0), (5, 2, 1), (6, 1, 1)) v(m, bb, bb2) ON z % 7 = m),
+    behind(node, a, b) AS (SELECT * FROM flow UNION SELECT c.node, c.a, f.bb2 FROM behind c JOIN flow f ON f.node = c.node AND f.bb = c.b),
+    cyclic AS (SELECT node, a AS bb FROM behind WHERE a = b)"""
+
 #: The same tables for DuckDB, as common table expressions.
 SQL = """
     pa AS (SELECT p_partkey::BIGINT AS node, p_size::BIGINT AS z, (SELECT count(*) FROM part) AS n FROM part),

@@ -42,6 +42,21 @@ class Tables:
         df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
         return path, rows.get["n"]
 
+    def split(self, df: DataFrame, by: str, path: str | None = None) -> str:
+        """Writes a table with a folder for each value of a column, or adds to one."""
+        if path is None:
+            self.count += 1
+            path = f"{self.root}/{self.count}"
+        df.write.mode("append").partitionBy(by).parquet(path)
+        return path
+
+    def part(self, path: str, schema, **value) -> DataFrame | None:
+        """The rows of a split table in one value's folder, without that column; None if there is no such folder."""
+        ((name, wanted),) = value.items()
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={wanted}")
+        files = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return self.read(schema, where.toString()) if files.exists(where) else None
+
     def drop(self, *paths: str) -> None:
         for path in paths:
             where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
