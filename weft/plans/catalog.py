@@ -300,6 +300,6 @@ def stratified_reaching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strata.stratified(edges, gen, lambda rows, ways: graph.past_kills(rows, ways, kill))
 
 
-from weft.plans import flows, lattices, outcomes, programs, samples, shared, structures  # noqa: E402, F401  (registers its queries)
+from weft.plans import flows, heights, lattices, outcomes, programs, samples, shared, structures  # noqa: E402, F401  (registers its queries)
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
