@@ -9,11 +9,11 @@ from weft.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 FAST = (
-    "dpn_rules_base", "dpn_rules_push", "dpn_rules_pop", "dpn_rules_spawn", "dpn_symbols", "dpn_rule_counts", "rule_numbering", "transition_table", "can_terminate", "lockset_algebra", "lock_graph_acyclic", "dep_candidates", "field_map", "status_rollup_conj", "status_rollup_disj", "set_ops", "subset_violations", "backward_slice",
+    "dpn_rules_base", "dpn_rules_push", "dpn_rules_pop", "dpn_rules_spawn", "dpn_symbols", "dpn_rule_counts", "rule_numbering", "transition_table", "can_terminate", "lockset_algebra", "lock_graph_acyclic", "lock_orders", "dep_candidates", "field_map", "status_rollup_conj", "status_rollup_disj", "set_ops", "subset_violations", "backward_slice",
     "rules_of_calls", "rules_of_monitors", "rules_of_blocks", "rules_of_ends_and_starts", "rules_without_actions", "locks_used", "lock_users", "safe_locks", "call_edges",
     "field_accesses", "field_objects", "shared_objects", "access_annotations", "program_points", "method_entry_set", "exception_kinds", "flow_graph", "call_graph_lines",
     "isolation_product", "mnfs_conflict_pair", "mnfs_facts", "mnfs_graph", "trim_base", "scc_sizes", "map_lattice", "genkill_composition",
-    "result_tree", "result_print", "enabled_rules", "network_step",
+    "flow_cycles", "unique_sites", "result_tree", "result_print", "enabled_rules", "network_step",
 )
 
 

@@ -200,6 +200,26 @@ def lock_graph_acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_orderkey").agg(F.bit_or(order).alias("graph")).select("l_orderkey", locks.acyclic(F.col("graph")).alias("acyclic"))
 
 
+#: Locks of ``lock_orders``: a supplier's order graph has at most the square of this many edges, however many its lines.
+_LOCKS = 200
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT l_suppkey AS k, l_partkey % {_LOCKS} AS a, l_orderkey % {_LOCKS} AS b, l_suppkey % 3 = 0 AND l_linenumber = 6 AS back FROM lineitem),
+    e AS (SELECT DISTINCT k, CASE WHEN back THEN greatest(a, b) ELSE least(a, b) END AS x, CASE WHEN back THEN least(a, b) ELSE greatest(a, b) END AS y FROM l WHERE a <> b),
+    p(k, x, y) AS (SELECT * FROM e UNION SELECT p.k, p.x, e.y FROM p JOIN e ON p.k = e.k AND p.y = e.x)
+    SELECT k AS l_suppkey, (SELECT count(*) FROM e WHERE e.k = p.k) AS orders, NOT bool_or(x = y) AS acyclic FROM p GROUP BY k"""
+)
+def lock_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order graphs over many locks, one of each supplier: their edges, and whether they have no circle (C4)."""
+    line = _table(spark, sf_dir, "lineitem").select("l_suppkey", *((F.col(c) % _LOCKS).cast("bigint").alias(n) for c, n in (("l_partkey", "a"), ("l_orderkey", "b"))), "l_linenumber").where("a <> b")
+    back = (F.col("l_suppkey") % 3 == 0) & (F.col("l_linenumber") == 6)
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    edge = F.struct(F.when(back, high).otherwise(low).alias("x"), F.when(back, low).otherwise(high).alias("y"))
+    graphs = line.select("l_suppkey", edge.alias("edge")).distinct().groupBy("l_suppkey").agg(F.collect_list("edge").alias("graph"))
+    return graphs.select("l_suppkey", F.size("graph").cast("bigint").alias("orders"), locks.LISTS.acyclic(F.col("graph")).alias("acyclic"))
+
+
 @query(
     """SELECT w.user_id, w.event_id AS write_id, r.event_id AS read_id FROM events w JOIN events r
     ON w.user_id = r.user_id AND w.event_type IN ('purchase', 'signup') AND r.event_type IN ('view', 'click') AND r.ts > w.ts"""
