@@ -57,3 +57,17 @@ def test_numbers(spark):
     names = spark.createDataFrame([(f"n{i * 7 % 50:02}",) for i in range(50)], "name string").repartition(4)
     assert {(r["name"], r.place) for r in numbered(names, "name", "place").collect()} == {(f"n{i:02}", i) for i in range(50)}
     assert numbered(names.limit(0), "name", "place").count() == 0
+
+
+def test_rounds_send_no_table_through_the_driver(spark):
+    """Neither a round's rows nor what they are joined with are broadcast, however small."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3)], "x long, y long")
+    plans = []
+
+    def step(new, known):
+        found = new.join(edges, "x").select(F.col("y").alias("x"))
+        plans.append(found.join(known, "x", "left_anti")._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    assert least_fixpoint(spark.createDataFrame([(0,)], "x long"), step).count() == 4
+    assert plans and not any("Broadcast" in p for p in plans)
