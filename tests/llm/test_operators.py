@@ -546,3 +546,27 @@ def test_blocks_without_candidates(spark):
     assert {r.n_removed for r in suffix.remove_earlier(docs).collect()} == {0}
     none = spark.createDataFrame([(1, None), (2, " ")], "doc_id bigint, text string")
     assert {(r.component_id, r.kept) for r in minhash.near_groups(none).collect()} == {(1, True), (2, True)}
+
+
+def test_members_of_one_component_do_not_meet(spark):
+    """Two members of a band with different roots meet in one cell, those of the largest root in none, and the rows of
+    a band follow its members (before: members times tiles, whatever their roots)."""
+    members = 6000
+    root = "case when k < 5400 then 0 when k < 5700 then 7 else k end"
+    placed = spark.range(members).selectExpr("1L as band", "id as k", "10L as n").selectExpr("band", "k", "n", f"cast({root} as bigint) as root")
+    few = spark.createDataFrame([(2, 1, 5, 1), (2, 2, 5, 2), (2, 3, 5, 1), (3, 1, 5, 1), (3, 3, 5, 1)], "band long, k long, n long, root long")
+    rows = minhash._tiles(placed.unionByName(few)).toPandas()
+    assert sorted(rows[rows.band == 2].k) == [1, 2, 3] and not (rows.band == 3).any()
+    large = rows[rows.band == 1]
+    assert len(large) < 3 * members
+    met = np.zeros((members, members), np.int8)
+    for (i, j), cell in large.groupby(["i", "j"]):
+        a, b = cell.k[cell.tile == i].to_numpy(), cell.k[cell.tile == j].to_numpy()
+        met[np.ix_(a, b)] += 1
+        if i != j:
+            met[np.ix_(b, a)] += 1
+    roots = np.array([0 if k < 5400 else 7 if k < 5700 else k for k in range(members)])
+    assert (met[roots[:, None] != roots[None, :]] == 1).all()
+    assert (met[:5400, :5400] == 0).all()
+    pairs = [x for a, b in minhash._pairs(np.arange(700), None) for x in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(pairs) == len(set(pairs)) == 700 * 699 // 2

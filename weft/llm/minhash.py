@@ -11,10 +11,12 @@ that may reach the threshold are verified on the full sets of 64-bit shingle has
 Candidates of a band are not paired with each other at once.  In the first round each is
 compared with one member alone, the one that meets most others over all its bands (an original
 meets its copies more often than these each other), and what is linked becomes one component.
-In the second round members of different components are compared, in tiles of ``TILE`` members
-that bring their registers along; those with a pair whose estimate passes come again with their
-sets, and only links leave the cell.  So no link between components is lost, and what is
-written follows the members, not their pairs.
+In the second round members of different components are compared, in tiles whose members bring
+their registers along; those with a pair whose estimate passes come again with their sets, and
+only links leave the cell.  Members of a band's largest component do not meet each other, and
+tiles grow with the band, so a member comes ``2 * TILES`` times at most, unless its band's sets
+pass ``HELD`` bytes a tile.  So no link between components is lost, and what is written follows
+the members, not their pairs.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing.
 Fewer words than a shingle count as one shingle.  Repeated rows share their component; a null
@@ -42,8 +44,13 @@ SMALL, TOGETHER = 16, 4
 #: Classes of larger set sizes: from, to, bands.
 CLASSES = ((SMALL + 1, 32, 11), (33, 64, 19), (65, 160, 28), (161, 1 << 62, 42))
 MANTISSA = 10
-#: Members of a band that one comparison task pairs with as many others.
-TILE = 512
+#: Members of a band in a tile, and of its largest component; in larger bands there are ``TILES``
+#: tiles of each kind, and more only where the sets of one would pass ``HELD`` bytes.
+TILE, OWN_TILE, TILES, HELD = 512, 2048, 8, 32 << 20
+#: Pairs that a cell looks at together, and bytes of rows that a worker judges together.
+PAIRS, JUDGED = 1 << 18, 32 << 20
+#: Classes that meet a pivot in one cell: two to this power, numbered one after the other.
+MET = 10
 #: How many standard deviations below the threshold an estimate may lie.
 SIGMAS = 5.0
 
@@ -218,7 +225,13 @@ def _by_cell(rows: DataFrame, cell: list[str], judge: Callable[[pa.Table, np.nda
             keys = [table.column(c).to_numpy() for c in cell]
             new = np.ones(table.num_rows, bool)
             new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-            yield from judge(table, np.flatnonzero(new))
+            begins = np.flatnonzero(new)
+            # whole cells of about JUDGED bytes together, since judging copies them
+            share = np.searchsorted(begins, np.arange(0, table.num_rows, max(1, table.num_rows * JUDGED // max(1, table.nbytes))))
+            stops = np.unique(np.append(share, len(begins)))
+            for x, y in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+                end = int(begins[y]) if y < len(begins) else table.num_rows
+                yield from judge(table.slice(begins[x], end - int(begins[x])), begins[x:y] - begins[x])
 
     return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, fields)
 
@@ -295,6 +308,17 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
+def _pairs(left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a left and a right row, or of two left ones, about ``PAIRS`` at once."""
+    other = left if right is None else right
+    step = max(1, PAIRS // max(1, len(other)))
+    for s in range(0, len(left), step):
+        x, y = np.indices((len(left[s : s + step]), len(other))).reshape(2, -1)
+        if right is None:
+            x, y = x[x + s < y], y[x + s < y]
+        yield left[s + x], other[y]
+
+
 def _meeting(table: pa.Table, new: np.ndarray, r: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows a and b of a cell that have different roots and whose registers leave room for a
     link, some thousands at once; a pair that meets in several bands comes in one of them, and
@@ -302,34 +326,57 @@ def _meeting(table: pa.Table, new: np.ndarray, r: np.ndarray, n: np.ndarray, per
     band, root, tile, i, j = (table.column(x).to_numpy() for x in ("band", "root", "tile", "i", "j"))
     some: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
+
+    def passed() -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(x) for x in zip(*some, strict=True))
+        ok = _estimates(r, n, a, b, percent)
+        a, b = a[ok], b[ok]
+        least = _least_common(r, n, a, b, percent) if len(a) else np.zeros(0, np.int64)
+        own = (least == band[a]) | (least == np.iinfo(np.int64).max)
+        return a[own], b[own]
+
     for s, e in zip(new.tolist(), [*new[1:].tolist(), len(band)], strict=True):
         if i[s] == j[s]:
-            a, b = (x + s for x in np.triu_indices(e - s, 1))
+            pairs = _pairs(np.arange(s, e), None)
         else:
-            left, right = s + np.flatnonzero(tile[s:e] == i[s]), s + np.flatnonzero(tile[s:e] == j[s])
-            a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-        apart = root[a] != root[b]
-        some.append((a[apart], b[apart]))
-        size += int(apart.sum())
-        if size >= 8192 or e == len(band):
-            a, b = (np.concatenate(x) for x in zip(*some, strict=True))
-            some, size = [], 0
-            ok = _estimates(r, n, a, b, percent)
-            a, b = a[ok], b[ok]
-            least = _least_common(r, n, a, b, percent) if len(a) else np.zeros(0, np.int64)
-            own = (least == band[a]) | (least == np.iinfo(np.int64).max)
-            yield a[own], b[own]
+            pairs = _pairs(s + np.flatnonzero(tile[s:e] == i[s]), s + np.flatnonzero(tile[s:e] == j[s]))
+        for a, b in pairs:
+            near = (root[a] != root[b]) & (np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b]))
+            some.append((a[near], b[near]))
+            size += int(near.sum())
+            if size >= 8192:
+                yield passed()
+                some, size = [], 0
+    if some:
+        yield passed()
+
+
+def _tiles(placed: DataFrame) -> DataFrame:
+    """band, i, j, tile, k, root: the members of each band with different roots, once for each cell
+    (two tiles i and j, or one) that they meet in; ``placed``: band, k, n, root.  Each two members with different
+    roots meet in one cell.  Where a root has more than ``TILE`` members, they have tiles of their own, which
+    do not meet each other."""
+    own = placed.groupBy("band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    bands = own.groupBy("band").agg(F.sum("c").alias("m"), F.sum("s").alias("all"), F.count("*").alias("roots"), F.max(F.struct("c", "s", "root")).alias("most"))
+    most = F.col("most.c") > TILE
+    number = lambda c, s, size: F.greatest(F.least(F.ceil(c / size), F.lit(TILES)), F.ceil(8 * s / HELD))
+    bands = bands.where("roots > 1").select("band", F.when(most, F.col("most")).alias("most"), F.col("m") - F.when(most, F.col("most.c")).otherwise(0), F.col("all") - F.when(most, F.col("most.s")).otherwise(0))
+    bands = bands.toDF("band", "most", "m", "s")
+    bands = bands.select("band", F.col("most.root").alias("main"), F.coalesce(number(F.col("most.c"), F.col("most.s"), OWN_TILE) * F.col("most.c").isNotNull().cast("int"), F.lit(0)).alias("u"), number(F.col("m"), F.col("s"), TILE).alias("t"))
+    rows = placed.join(bands.hint("merge"), "band")
+    main, hashed = F.coalesce(F.col("root") == F.col("main"), F.lit(False)), F.xxhash64("k")
+    tile = F.when(main, F.pmod(hashed, F.greatest("u", F.lit(1)))).otherwise(F.col("u") + F.pmod(hashed, F.col("t")))
+    meets = F.sequence(F.when(main, F.col("u")).otherwise(0).cast("bigint"), F.col("u") + F.col("t") - 1)
+    rows = rows.select("band", "k", "root", tile.alias("tile"), meets.alias("meets"))
+    return rows.select("band", "k", "root", "tile", F.explode("meets").alias("o")).select("band", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "k", "root")
 
 
 def _tiled(placed: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between members of one band and different roots; ``placed``: band, k, root, t
-    (the tiles of the band).  Members are dealt to tiles by a hash; each two tiles meet in a cell
-    of their own, whatever the size of the band.  Members bring their registers first, and those
+    """Links (a, b) between members of one band and different roots; ``placed``: band, k, n, root.
+    Members are dealt to tiles by a hash; the tiles of different roots meet in cells of their own,
+    whatever the size of the band.  Members bring their registers first, and those
     with a pair that may be a link come again with their sets; pairs stay within the cell."""
-    tiled = placed.withColumn("tile", F.pmod(F.xxhash64("k"), F.col("t")))
-    tiled = tiled.join(classes.select("k", "n", "r").hint("merge"), "k")
-    meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1), lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j")))
-    spread = tiled.select("band", "root", "k", "tile", "n", "r", F.explode(meets).alias("meet")).select("band", "meet.i", "meet.j", "tile", "k", "root", "n", "r")
+    spread = _tiles(placed).join(classes.select("k", "n", "r").hint("merge"), "k").select("band", "i", "j", "tile", "k", "root", "n", "r")
     cell = ["band", "i", "j"]
 
     def hopeful(table: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -402,24 +449,21 @@ def _groups(documents: DataFrame, words: int, percent: int, scratch: Scratch) ->
 
     touched = blocks.each(candidates, "c binary, n bigint, r binary, s binary, bands array<bigint>")
     touched = scratch.write(touched.withColumn("k", F.monotonically_increasing_id()), "touched")
-    banded_rows = touched.select("k", F.explode("bands").alias("band"))
+    banded_rows = touched.select("k", "n", F.explode("bands").alias("band"))
     sizes = scratch.write(banded_rows.groupBy("band").agg(F.min("k").alias("least"), F.count("*").alias("m")), "sizes")
     members = scratch.write(banded_rows.join(sizes.hint("merge"), "band"), "members")
     larger = members.where("m > 2").select("band", "k", "m")
     hubs = larger.join(larger.groupBy("k").agg(F.sum("m").alias("meets")).hint("merge"), "k")
     hubs = scratch.write(hubs.groupBy("band").agg(F.max_by("k", F.struct("meets", -F.col("k"))).alias("hub")), "hubs")
     paired = members.join(hubs.hint("merge"), "band", "left").select(F.coalesce("hub", "least").alias("a"), F.col("k").alias("b")).where("a <> b").distinct()
-    # the cells of a pivot: one for the classes of each task that numbered them
-    paired = paired.withColumn("cell", F.xxhash64("a", F.shiftright("b", 33)))
+    # the cells of a pivot: one for each 2 ** MET classes that a task numbered one after the other
+    paired = paired.withColumn("cell", F.xxhash64("a", F.shiftright("b", MET)))
     near = scratch.write(_estimated(paired, touched, percent), "near-1")
     edges = scratch.write(_verified(near, touched, percent), "edges-1")
     roots = components(edges, scratch, "labels-1")
     # whatever lies in one band and in different components is compared; then all has been
-    placed = members.join(roots.hint("merge"), "k", "left").select("band", "k", F.coalesce("root", "k").alias("root"))
-    placed = scratch.write(placed, "placed")
-    several = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y")
-    several = scratch.write(several.select("band", F.ceil(F.col("m") / TILE).alias("t")), "several")
-    links = _tiled(placed.join(several.hint("merge"), "band"), touched, percent, scratch)
+    placed = members.join(roots.hint("merge"), "k", "left").select("band", "k", "n", F.coalesce("root", "k").alias("root"))
+    links = _tiled(scratch.write(placed, "placed"), touched, percent, scratch)
     edges = edges.select("a", "b").unionByName(scratch.write(links, "edges-2"))
     roots = components(edges, scratch, "labels-2")
     classes = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
