@@ -9,9 +9,13 @@ b; ``tt`` (a, sym, b): by a stack symbol; ``ts`` (a, b): the process ends, on to
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
-from weft.operators.fixpoint import least_fixpoint
+from weft.operators.fixpoint import least_fixpoint, spread_bits
+from weft.sources.scratch import Tables
+
+#: States of an automaton, at most, whose transitions by one symbol are a set of bits in one number.
+FEW = 7
 
 
 def trim_base(base: DataFrame, interesting: DataFrame) -> DataFrame:
@@ -28,7 +32,69 @@ def trim_base(base: DataFrame, interesting: DataFrame) -> DataFrame:
 
 def saturate(rules: DataFrame, sp: DataFrame, ts: DataFrame, tt: DataFrame) -> DataFrame:
     """a, sym, b: all stack transitions of the configurations from which the set can be reached;
-    ``rules``: kind, g, s, g1, s1, g2, s2."""
+    ``rules``: kind, g, s, g1, s1, g2, s2.  In an automaton of up to ``FEW`` states the transitions by a symbol
+    are one row while they are sought."""
+    ends = [sp.select(F.explode(F.array("a", "b")).alias("a")), ts.select(F.explode(F.array("a", "b")).alias("a")), tt.select(F.explode(F.array("a", "b")).alias("a"))]
+    states = sorted(r.a for r in ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct().limit(FEW + 1).collect())
+    places = sp.select("a", "p", "b").distinct().limit(FEW * FEW + 1).collect()
+    if len(states) <= FEW and len(places) == len({(r.a, r.p) for r in places}) <= FEW * FEW and len({r.p for r in places}) <= FEW:
+        return _saturate_bits(rules, places, ts, tt, states)
+    return _saturate_rows(rules, sp, ts, tt)
+
+
+def _saturate_bits(rules: DataFrame, places: list[Row], ts: DataFrame, tt: DataFrame, states: list[int]) -> DataFrame:
+    """``saturate`` with the transitions of a symbol as bits: that from the i-th of n states to the k-th is bit i * n + k.  No
+    pairs of transitions are made; ``places`` (sp) and ``ts`` lie between ``states``, so there are few of them."""
+    n, place = len(states), {a: i for i, a in enumerate(states)}
+    into = {(place[r.a], r.p): place[r.b] for r in places}
+    behind = [(place[r.a], place[r.b]) for r in ts.distinct().collect()]
+    controls = sorted({p for _, p in into})
+    of = lambda bits, i: f"(shiftright({bits}, {i * n}) & {(1 << n) - 1}L)"
+    set_in = lambda bits, i, k: f"shiftright({bits}, {i * n + k}) & 1L = 1L"
+
+    def all_of(parts: list[str]) -> str:
+        return " | ".join(parts) or "0L"
+
+    def spawned(place_: int, g2: int, g1: int) -> str:
+        ends = [f"CASE WHEN {set_in('got', into[place_, g2], end)} THEN {of('b2', into[to, g1])} ELSE 0L END" for end, to in behind if (to, g1) in into]
+        return all_of(ends)
+
+    def found(g: int, g1: int, g2: int) -> dict[str, str]:
+        """What a rule adds to its symbol, by its kind: at each place where its controls can stand."""
+        at = [(into[i, g], into[i, g1]) for i in range(n) if (i, g) in into and (i, g1) in into]
+        push = [f"shiftleft({all_of([f'CASE WHEN {set_in("got", a1, mid)} THEN {of("b2", mid)} ELSE 0L END' for mid in range(n)])}, {a * n})" for a, a1 in at]
+        spawn = [f"shiftleft({spawned(i, g2, g1)}, {into[i, g] * n})" for i in range(n) if (i, g) in into and (i, g2) in into]
+        return {"base": all_of([f"shiftleft({of('got', a1)}, {a * n})" for a, a1 in at]), "push": all_of(push), "spawn": all_of(spawn)}
+
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int"))
+    index = F.create_map(*(x for a, i in place.items() for x in (F.lit(a).cast("bigint"), F.lit(i))))
+    seed = tt.select("sym", bit(F.element_at(index, F.col("a").cast("bigint")) * n + F.element_at(index, F.col("b").cast("bigint"))).alias("bits"))
+    pops = F.coalesce(*(F.when((F.col("g") == g) & (F.col("g1") == h), F.lit(sum({1 << into[i, g] * n + into[i, h] for i in range(n) if (i, g) in into and (i, h) in into}))) for g in controls for h in controls), F.lit(0))
+    popped = rules.where("kind = 'pop'").select(F.col("s").alias("sym"), pops.cast("bigint").alias("bits"))
+    # in: what must lead on from the place, the callee or the process that is spawned; out: what comes after it
+    swapped = F.col("kind") == "spawn"
+    ways = rules.where("kind <> 'pop'").select("kind", "g", "g1", "g2", "s", F.when(swapped, F.col("s2")).otherwise(F.col("s1")).alias("in"), F.when(swapped, F.col("s1")).otherwise(F.col("s2")).alias("out"))
+    tables = Tables(rules.sparkSession)
+    ways = tables.read(ways.schema, tables.write(ways))
+    known = {(g, h, k): found(g, h, k) for g in controls for h in controls for k in controls}
+    # only a spawn has a second control
+    cases = [(kind, f"g = {g} AND g1 = {h}" + (f" AND g2 = {k}" if kind == "spawn" else ""), x[kind]) for (g, h, k), x in known.items() for kind in x if kind == "spawn" or k == controls[0]]
+    more = F.expr(f"CASE {' '.join(f"WHEN kind = '{kind}' AND {when} THEN {what}" for kind, when, what in cases)} ELSE 0L END") if cases else F.lit(0).cast("bigint")
+
+    def step(rows: DataFrame) -> DataFrame:
+        at = lambda symbol, bits, fresh: rows.select(F.col("sym").alias(symbol), F.col("bits").alias(bits), F.col("fresh").alias(fresh))
+        both = ways.join(at("in", "got", "f1"), "in").join(at("out", "b2", "f2"), "out", "left").where("f1 <> 0 or f2 <> 0")
+        both = both.withColumn("b2", F.coalesce("b2", F.lit(0).cast("bigint")))
+        return both.select(F.col("s").alias("sym"), more.alias("bits"))
+
+    bits = spread_bits(seed.unionByName(popped), step, ["sym"])
+    pairs = F.array(*(F.struct(F.lit(i * n + k).alias("i"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for i, a in enumerate(states) for k, b in enumerate(states)))
+    each = bits.select("sym", F.explode(F.filter(pairs, lambda x: F.call_function("shiftright", "bits", x["i"]).bitwiseAND(F.lit(1).cast("bigint")) == 1)).alias("x"))
+    return each.select("x.a", "sym", "x.b")
+
+
+def _saturate_rows(rules: DataFrame, sp: DataFrame, ts: DataFrame, tt: DataFrame) -> DataFrame:
+    """``saturate`` with a row for each transition, for automata of any size."""
 
     def of(kind: str) -> DataFrame:
         return rules.where(F.col("kind") == kind).select("g", "s", "g1", "s1", "g2", "s2")
