@@ -7,6 +7,7 @@ import pyspark.sql.functions as F
 from weft.operators import graph
 from weft.operators.fixpoint import Order, advance, least_fixpoint
 from weft.operators.numbering import numbered
+from weft.sources.scratch import Tables
 
 
 def reach(edges, start):
@@ -71,3 +72,17 @@ def test_rounds_send_no_table_through_the_driver(spark):
 
     assert least_fixpoint(spark.createDataFrame([(0,)], "x long"), step).count() == 4
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_dealt_tables_stay(spark):
+    """Tables dealt alike are joined where they lie, and a closure over them is that of a plain search."""
+    tables = Tables(spark)
+    (a, n), (b, _) = (tables.dealt(spark.range(50).selectExpr("id % 20 as x", f"id as {c}").repartition(3, "x"), "x", 3) for c in "ab")
+    both = a.hint("merge").join(b, "x")
+    assert n == 50 and both.count() == 10 * 9 + 10 * 4
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    edges = spark.range(40).selectExpr("id as x", "if(id % 7 = 3, null, (id * 3 + 1) % 40) as y")
+    after, found = {r.x: r.y for r in edges.collect()}, {5}
+    while not {after[x] for x in found} <= found | {None}:
+        found |= {after[x] for x in found} - {None}
+    assert {r.x for r in graph.forward(edges, spark.createDataFrame([(5,)], "x long")).collect()} == found
