@@ -86,3 +86,12 @@ def test_dealt_tables_stay(spark):
     while not {after[x] for x in found} <= found | {None}:
         found |= {after[x] for x in found} - {None}
     assert {r.x for r in graph.forward(edges, spark.createDataFrame([(5,)], "x long")).collect()} == found
+
+
+def test_executed_reads_edges_once(spark):
+    """What runs, and what runs more than once: two sites, a call in a cycle, a way back to the start."""
+    edges = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 3, 1), (2, 4, 1), (3, 5, 1), (9, 3, 7)], "x long, y long, n long")
+    start, looped = spark.createDataFrame([(0,)], "x long"), spark.createDataFrame([(3, 5), (9, 1)], "x long, y long")
+    got = lambda *more: {(r.x, r.many) for r in graph.executed(edges, start, *more).collect()}
+    assert got() == {(0, False), (1, False), (2, True), (3, False), (4, True), (5, False)}
+    assert got(looped) == {(0, False), (1, False), (2, True), (3, False), (4, True), (5, True)}
