@@ -1,8 +1,8 @@
 """Data races (Q8, Q12, Q13): two accesses to one field of one object, one of them a write, by two
 processes at once.
 
-Every (field, object) that is written is a question of its own; all are answered by one fixpoint,
-told apart by ``qid``.  Each question is asked of its own slice of the network: the symbols from
+Every (field, object) that is written is a question of its own; all are answered by one fixpoint.  Without locks they
+are told apart by bits (``questions``).  With locks they are told apart by ``qid``, and each is asked of its own slice of the network: the symbols from
 which its accesses can be reached, found for all questions at once as sets of bits.  What leaves the slice is only
 asked whether it returns.  Verdicts come as soon as they fall; statuses roll up by field and over all.
 """
@@ -16,6 +16,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from weft.operators import automata, build, emptiness, graph, locks, status
+from weft.operators import questions as conflicts
 from weft.operators.numbering import numbered
 from weft.sources.program import Program
 from weft.sources.scratch import Tables
@@ -70,20 +71,32 @@ def question_rules(rules: DataFrame, initial: DataFrame, sets: DataFrame, with_l
 
 def verdicts(rules: DataFrame, initial: DataFrame, sets: DataFrame, with_locks: bool, algebra=locks.BITS, progress=None) -> Iterator[DataFrame]:
     """Tables (qid, status) of questions as soon as they are decided: Positive for a possible race, else Negative."""
+    if not with_locks:
+        yield from _without_locks(rules, initial, sets, progress)
+        return
     own = question_rules(rules, initial, sets, with_locks)
     automaton = automata.conflict(with_locks, algebra)
-    # without locks every place of a slice counts as demanded: its symbols were found from the initial ones
-    places = None if with_locks else _places(own, initial, algebra)
     value = F.when(F.col("reached"), "Positive").otherwise("Negative")
-    for found in emptiness.verdicts(own, initial, sets, automaton, 0, with_locks, algebra, progress, places):
+    for found in emptiness.verdicts(own, initial, sets, automaton, 0, with_locks, algebra, progress):
         yield found.select("qid", value.alias("status"))
 
 
-def _places(rules: DataFrame, initial: DataFrame, algebra) -> DataFrame:
-    """(qid, g, s, held): the places of rules and those that rules lead to."""
-    place = lambda g, s: F.struct(F.col(g).alias("g"), F.col(s).alias("s"))
-    led = rules.select("qid", F.inline(F.array(place("g", "s"), place("g1", "s1"), place("g2", "s2")))).where("g is not null and s is not null")
-    return initial.select("qid", "g", "s").unionByName(led).distinct().withColumn("held", algebra.empty())
+def _without_locks(rules: DataFrame, initial: DataFrame, sets: DataFrame, progress) -> Iterator[DataFrame]:
+    """``verdicts`` without locks: the questions are bits over one network, no question has rules of its own."""
+    tables = Tables(rules.sparkSession)
+    names = numbered(initial.select("qid").distinct(), "qid", "question")
+    place, bit = (F.col("question") / graph.WORD).cast("bigint"), (F.col("question") % graph.WORD).cast("int")
+    names = names.select("qid", place.alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bit"))
+    path = tables.write(names)
+    names, left = tables.read(names.schema, path), tables.read(names.schema, path)
+    words = names.groupBy("word").agg(F.bit_or("bit").alias("mask"))
+    begins = initial.join(names, "qid").groupBy("s", "g", "word").agg(F.bit_or("bit").alias("bits"))
+    hits = sets.join(names, "qid").select("i", "s", "word", F.col("bit").alias("bits"))
+    for found in conflicts.reached(rules.select(*RULE), begins, hits, words, progress):
+        now = left.join(found, "word").where("bit & bits <> 0").select("qid")
+        left = left.join(now, "qid", "left_anti")
+        yield now.withColumn("status", F.lit("Positive"))
+    yield left.select("qid", F.lit("Negative").alias("status"))
 
 
 def program_questions(p: Program, main: Column, unique: DataFrame, exceptions: bool = True) -> tuple[DataFrame, ...]:
