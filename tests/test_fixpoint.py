@@ -5,7 +5,7 @@ import random
 import pyspark.sql.functions as F
 
 from weft.operators import graph
-from weft.operators.fixpoint import Order, advance, least_fixpoint
+from weft.operators.fixpoint import Order, advance, least_fixpoint, spread_bits
 from weft.operators.numbering import numbered
 from weft.sources.scratch import Tables
 
@@ -95,3 +95,20 @@ def test_executed_reads_edges_once(spark):
     got = lambda *more: {(r.x, r.many) for r in graph.executed(edges, start, *more).collect()}
     assert got() == {(0, False), (1, False), (2, True), (3, False), (4, True), (5, False)}
     assert got(looped) == {(0, False), (1, False), (2, True), (3, False), (4, True), (5, True)}
+
+
+def test_rounds_make_no_columns(spark, monkeypatch):
+    """Columns of a fixpoint over bits are made once: twice the rounds make no more of them."""
+    one, made = F.lit(1).cast("bigint"), []
+    kind, plain = type(one), type(one).bitwiseOR
+    monkeypatch.setattr(kind, "bitwiseOR", lambda self, other: (made.append(1), plain(self, other))[1])
+
+    def chain(n):
+        edges = spark.range(n).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
+        to = [F.col("y").alias("x"), one.alias("bits")]
+        made.clear()
+        found = spread_bits(spark.range(1).select(F.col("id").alias("x"), one.alias("bits")), lambda rows: rows.where("fresh <> 0").join(edges, "x").select(*to), ["x"])
+        return found.count(), len(made)
+
+    (few, once), (more, again) = chain(3), chain(7)
+    assert (few, more) == (4, 8) and once == again == 1
